@@ -51,8 +51,12 @@ def _effective(rows: DataFrame, stats: DataFrame, layout: Layout) -> DataFrame:
 
 
 def atr_now(rows: DataFrame, keys) -> DataFrame:
-    """Last known ATR per series, the median range when there is none, and series facts."""
+    """Last known ATR per series, the median range when there is none, and series facts.
+
+    ``atr_last`` is the same at the last bar only, with the median range for a zero as well.
+    """
     return rows.groupBy(*keys).agg(
+        F.max_by("atr_eff", "bar_idx").alias("atr_last"),
         F.coalesce(
             F.max_by("atr", F.when(C("atr").isNotNull(), C("bar_idx"))), F.max("atr_fallback")
         ).alias("atr_now"),
