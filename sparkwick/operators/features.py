@@ -325,12 +325,8 @@ def series_features(
     rows = structure.swing_bars(bars, cfg, layout)
     sw = structure.swings_from(rows, layout)
     br = structure.breaks_from(rows, layout)
-    move = C("price") - C("prev_price")
     feats = bar_features(bars, cfg, layout).drop("n_bars")
-    kind_moves = F.struct("kind", F.signum(move).alias("sign"), C("strength"))
-    at_conf = sw.groupBy(*keys, (C("bar_idx") + k).alias("bar_idx")).agg(
-        F.count("*").alias("_sw"), F.max(kind_moves).alias("_swing")
-    )
+    at_conf = sw.groupBy(*keys, (C("bar_idx") + k).alias("bar_idx")).agg(F.count("*").alias("_sw"))
     flips = C("prev_direction") != C("direction")
     at_break = br.groupBy(*keys, "bar_idx").agg(
         F.count_if(C("direction") == "bullish").alias("_bull"),
