@@ -23,6 +23,7 @@ from sparkwick.operators import scan as S
 from sparkwick.operators.indicators import INDICATORS, indicators
 from sparkwick.operators.patterns import PATTERNS, patterns
 from sparkwick.operators.structure import MICRO
+from sparkwick.sources.staging import stage
 
 C = F.col
 
@@ -140,7 +141,9 @@ def _ahead_columns(cfg: AnalysisConfig, w) -> dict[str, Column]:
     log_c = F.ln(F.greatest("close", F.lit(1e-12)))
     prev = lambda c: F.coalesce(F.lag(c).over(w), C(c))
     return {
-        "_lret": log_c - F.ln(F.greatest(F.lag("close").over(w), F.lit(1e-12))),
+        "_lret": F.when(
+            C("bar_idx") > 0, log_c - F.ln(F.greatest(F.lag("close").over(w), F.lit(1e-12)))
+        ),
         "_prev_close": prev("close"),
         "_prev_high": prev("high"),
         "_prev_low": prev("low"),
@@ -236,12 +239,15 @@ def bar_features(
 def event_tables(
     bars: DataFrame, cfg: AnalysisConfig = DEFAULT, layout: Layout = DEFAULT_LAYOUT
 ) -> dict[str, DataFrame]:
-    """The event tables and per-series summaries behind the snapshot features."""
+    """The event tables and per-series summaries behind the snapshot features.
+
+    Tables that several others read are staged, so none of them is computed twice.
+    """
     keys = list(layout.keys)
-    rows = structure.swing_bars(bars, cfg, layout)
-    now = structure.atr_now(rows, keys)
-    sw = structure.swings_from(rows, layout)
-    tr = structure.trend(sw, now, cfg, layout)
+    rows = stage(structure.swing_bars(bars, cfg, layout))
+    now = stage(structure.atr_now(rows, keys))
+    sw = stage(structure.swings_from(rows, layout))
+    tr = stage(structure.trend(sw, now, cfg, layout))
     br = structure.breaks_from(rows, layout)
     zn = levels.zones(sw, now, cfg, layout)
     pl = levels.sweeps(bars, levels.pools(sw, now, cfg, layout), cfg, layout)
@@ -305,7 +311,7 @@ def snapshot_features(
         group("fvg", "fvg", GAP),
         group("ob", "ob", BLOCK),
     ]
-    wide = last
+    wide = stage(last)
     for p in parts:
         wide = wide.join(p, keys, "left")
     more = ["liq_bars_since_sweep"] if feature_set == "union" else []
@@ -322,7 +328,7 @@ def series_features(
     """
     keys = list(layout.keys)
     k = cfg.swing_window
-    rows = structure.swing_bars(bars, cfg, layout)
+    rows = stage(structure.swing_bars(bars, cfg, layout))
     sw = structure.swings_from(rows, layout)
     br = structure.breaks_from(rows, layout)
     feats = bar_features(bars, cfg, layout).drop("n_bars")
@@ -405,7 +411,8 @@ def decision_windows(
         F.floor(C("bar_idx") / stride), F.floor((C("_last") - horizon - (window - 1)) / stride)
     ).cast("long")
     t = t.withColumns({"_a": first, "_z": last}).where(C("_a") <= C("_z"))
-    t = t.withColumn("decision_idx", F.explode(F.sequence("_a", "_z")) * stride + (window - 1))
+    t = t.withColumn("_j", F.explode(F.sequence("_a", "_z")))
+    t = t.withColumn("decision_idx", C("_j") * stride + (window - 1)).drop("_j")
     t = t.withColumn("bar_idx", C("bar_idx") - (C("decision_idx") - (window - 1)))
     return t.drop("_a", "_z", "_last"), layout.per("decision_idx")
 
@@ -421,7 +428,7 @@ def window_features(
 ) -> DataFrame:
     """The feature vector of each decision bar from its own trailing window."""
     fan, short = decision_windows(bars, window, horizon, stride, layout)
-    out = snapshot_features(fan, feature_set, cfg, short)
+    out = snapshot_features(stage(fan), feature_set, cfg, short)
     return out.withColumns(
         {
             "window_end_idx": C("decision_idx"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkwick.config import DEFAULT, DEFAULT_LAYOUT, AnalysisConfig, Layout
@@ -31,6 +31,127 @@ def needs(cfg: AnalysisConfig) -> dict[str, set[str]]:
     return out
 
 
+class _Columns:
+    """Named column definitions, planned only when used and layered by what they read."""
+
+    def __init__(self, given):
+        self.level = {c: 0 for c in given}
+        self.exprs: dict[str, Column] = {}
+        self.defs: dict = {}
+        self._reads: list[int] = [0]
+
+    def use(self, name: str) -> Column:
+        if name not in self.level:
+            self._reads.append(0)
+            self.exprs[name] = self.defs[name]()
+            self.level[name] = self._reads.pop() + 1
+        self._reads[-1] = max(self._reads[-1], self.level[name])
+        return C(name)
+
+    def named(self, name: str, make) -> Column:
+        """A shared helper column, such as one rolling aggregate read by several indicators."""
+        self.defs.setdefault(name, make)
+        return self.use(name)
+
+    def apply(self, df: DataFrame, done: set[str]) -> DataFrame:
+        todo = [n for n in self.exprs if n not in done]
+        for lv in sorted({self.level[n] for n in todo}):
+            df = df.withColumns({n: self.exprs[n] for n in todo if self.level[n] == lv})
+        done.update(todo)
+        return df
+
+
+def _definitions(k: _Columns, m: AnalysisConfig, w) -> None:
+    """Definitions of everything that is not a recurrence."""
+    idx, c, v = C("bar_idx"), C("close"), C("volume")
+    use = k.use
+
+    def roll(fn: str, col: str, n: int) -> Column:
+        frame = w.rowsBetween(-(n - 1), 0)
+        use(col)
+        return k.named(f"_{fn}{n}_{col}", lambda: getattr(F, fn)(use(col)).over(frame))
+
+    def lag(col: str, n: int = 1) -> Column:
+        return k.named(f"_lag{n}_{col}", lambda: F.lag(use(col), n).over(w))
+
+    def position(low: Column, high: Column, at: Column, flat: float) -> Column:
+        return safe_divide(at, high - low, flat)
+
+    def middle() -> Column:
+        """Median of the recent closes, from a sorted array of at most one window."""
+        near = F.collect_list("close").over(w.rowsBetween(-(m.rolling_window - 1), 0))
+        box = k.named("_sorted", lambda: F.array_sort(near))
+        size = F.size(box)
+        lo = F.element_at(box, F.floor((size + 1) / 2).cast("int"))
+        hi = F.element_at(box, (F.floor(size / 2) + 1).cast("int"))
+        return (lo + hi) / 2.0
+
+    def band(sign: float) -> Column:
+        std = F.sqrt(roll("var_pop", "close", m.bollinger_period))
+        return roll("avg", "close", m.bollinger_period) + sign * m.bollinger_std * std
+
+    def mean_gap() -> Column:
+        k.named("_tp_gap", lambda: F.abs(use("_tp") - roll("avg", "_tp", m.cci_period)))
+        return roll("avg", "_tp_gap", m.cci_period)
+
+    def volume_trend() -> Column:
+        ma = use("volume_ma")
+        before = lag("volume_ma", m.volume_ma_period)
+        return F.when(idx < m.volume_ma_period, 0.0).otherwise(safe_divide(ma - before, before))
+
+    def directional(up: bool) -> Column:
+        rise = C("high") - F.coalesce(lag("high"), C("high"))
+        fall = F.coalesce(lag("low"), C("low")) - C("low")
+        mine, other = (rise, fall) if up else (fall, rise)
+        return F.when((mine > other) & (mine > 0), mine).otherwise(0.0)
+
+    ago = lambda n: lag("close", n)
+    zero = F.lit(0.0)
+    hh = lambda n: roll("max", "high", n)
+    ll = lambda n: roll("min", "low", n)
+    k.defs |= {
+        "_pc": lambda: F.coalesce(lag("close"), c),
+        "true_range": lambda: true_range(use("_pc")),
+        "_tp": lambda: (C("high") + C("low") + c) / 3.0,
+        "_delta": lambda: c - use("_pc"),
+        "_ret": lambda: safe_divide(c - use("_pc"), use("_pc")),
+        "_updm": lambda: directional(True),
+        "_downdm": lambda: directional(False),
+        "sma": lambda: roll("avg", "close", m.sma_period),
+        "momentum": lambda: F.coalesce(c - ago(m.momentum_period), zero),
+        "roc": lambda: F.coalesce(
+            safe_divide(c - ago(m.roc_period), ago(m.roc_period)) * 100.0, zero
+        ),
+        "cci": lambda: safe_divide(
+            use("_tp") - roll("avg", "_tp", m.cci_period), 0.015 * mean_gap()
+        ),
+        # a flat range counts as 50 before the scaling to percent, hence 5000
+        "stoch_k": lambda: position(ll(m.stoch_k), hh(m.stoch_k), c - ll(m.stoch_k), 50.0) * 100.0,
+        "stoch_d": lambda: roll("avg", "stoch_k", m.stoch_d),
+        "williams_r": lambda: position(
+            ll(m.williams_period), hh(m.williams_period), hh(m.williams_period) - c, 0.5
+        )
+        * -100.0,
+        "bb_upper": lambda: band(1.0),
+        "bb_middle": lambda: roll("avg", "close", m.bollinger_period),
+        "bb_lower": lambda: band(-1.0),
+        "rolling_mean": lambda: roll("avg", "close", m.rolling_window),
+        "rolling_median": middle,
+        "rolling_variance": lambda: roll("var_pop", "close", m.rolling_window),
+        "std_dev": lambda: F.sqrt(roll("var_pop", "close", m.rolling_window)),
+        "volatility": lambda: roll("stddev_pop", "_ret", m.rolling_window),
+        "volume_ma": lambda: roll("avg", "volume", m.volume_ma_period),
+        "relative_volume": lambda: safe_divide(v, use("volume_ma"), 1.0),
+        "volume_spike": lambda: flag(use("relative_volume") >= m.volume_spike_multiple),
+        "volume_trend": volume_trend,
+        "_signed_volume": lambda: v * F.signum(c - C("open")),
+        "volume_delta": lambda: roll("sum", "_signed_volume", m.volume_ma_period),
+        "volume_ratio": lambda: F.when(idx == 0, 1.0).otherwise(
+            safe_divide(v, lag("volume"), 1.0)
+        ),
+    }
+
+
 def indicators(
     bars: DataFrame,
     names=None,
@@ -42,114 +163,56 @@ def indicators(
 ) -> DataFrame:
     """Add indicator columns to indexed bars (``bar_idx``).
 
-    Only the recurrences behind ``names`` are planned. With ``extended=True`` the result keeps
-    the halo bars, for operators that need further windows over the new columns.
+    Only what ``names`` needs is planned. With ``extended=True`` the result keeps the halo bars,
+    for operators that need further windows over the new columns. ``extra`` columns are computed
+    on the extended bars.
     """
     names = list(names) if names is not None else list(INDICATORS)
     need = needs(cfg)
     helper = set().union(*[need.get(n, set()) for n in names]) if names else set()
     df = S.extend(bars, layout)
     w = S.bar_window(layout)
-    last = lambda n: w.rowsBetween(-(n - 1), 0)
-    idx = C("bar_idx")
+    idx, c, m = C("bar_idx"), C("close"), cfg
     warm = lambda p: idx >= p - 1
+    k = _Columns([*df.columns, *(extra or {})])
+    _definitions(k, m, w)
+    if extra:
+        df = df.withColumns(extra)
 
-    df = df.withColumns(
-        {
-            "_pc": F.coalesce(F.lag("close").over(w), C("close")),
-            "_ph": F.coalesce(F.lag("high").over(w), C("high")),
-            "_pl": F.coalesce(F.lag("low").over(w), C("low")),
-        }
-    )
-    up, down = C("high") - C("_ph"), C("_pl") - C("low")
-    df = df.withColumns(
-        {
-            "true_range": true_range(C("_pc")),
-            "_tp": (C("high") + C("low") + C("close")) / 3.0,
-            "_delta": C("close") - C("_pc"),
-            "_ret": safe_divide(C("close") - C("_pc"), C("_pc")),
-            "_updm": F.when((up > down) & (up > 0), up).otherwise(0.0),
-            "_downdm": F.when((down > up) & (down > 0), down).otherwise(0.0),
-            **(extra or {}),
-        }
-    )
-
-    # ------------------------------------------------------------ finite windows
-    v, c, m = C("volume"), C("close"), cfg
-    hh = lambda p: F.max("high").over(last(p))
-    ll = lambda p: F.min("low").over(last(p))
-    ago = lambda p: F.lag("close", p).over(w)
-    window = F.array_sort(F.collect_list("close").over(last(m.rolling_window)))
-    first = {
-        "sma": F.avg("close").over(last(m.sma_period)),
-        "momentum": F.coalesce(c - ago(m.momentum_period), F.lit(0.0)),
-        "roc": F.coalesce(
-            safe_divide(c - ago(m.roc_period), ago(m.roc_period)) * 100.0, F.lit(0.0)
+    plain = [n for n in names if n in k.defs]
+    for n in plain:
+        k.use(n)
+    drives = {
+        "tr_s": ("true_range", lambda: S.wilder("_tr_s", C("true_range"), m.atr_period)),
+        "gain_s": (
+            "_delta",
+            lambda: S.wilder("_gain_s", F.greatest(C("_delta"), F.lit(0.0)), m.rsi_period),
         ),
-        "_tpma": F.avg("_tp").over(last(m.cci_period)),
-        # a flat range counts as 50 before the scaling to percent, hence 5000
-        "stoch_k": safe_divide(c - ll(m.stoch_k), hh(m.stoch_k) - ll(m.stoch_k), 50.0) * 100.0,
-        "williams_r": safe_divide(
-            hh(m.williams_period) - c, hh(m.williams_period) - ll(m.williams_period), 0.5
-        )
-        * -100.0,
-        "bb_middle": F.avg("close").over(last(m.bollinger_period)),
-        "_bbstd": F.stddev_pop("close").over(last(m.bollinger_period)),
-        "rolling_mean": F.avg("close").over(last(m.rolling_window)),
-        "_sorted": window,
-        "rolling_variance": F.var_pop("close").over(last(m.rolling_window)),
-        "volatility": F.stddev_pop("_ret").over(last(m.rolling_window)),
-        "volume_ma": F.avg("volume").over(last(m.volume_ma_period)),
-        "volume_delta": F.sum(v * F.signum(c - C("open"))).over(last(m.volume_ma_period)),
-        "volume_ratio": F.when(idx == 0, 1.0).otherwise(
-            safe_divide(v, F.lag("volume").over(w), 1.0)
+        "loss_s": (
+            "_delta",
+            lambda: S.wilder("_loss_s", F.greatest(-C("_delta"), F.lit(0.0)), m.rsi_period),
         ),
-        "tick_volume": F.coalesce(C("tick_volume"), F.lit(0.0)),
-    }
-    df = df.withColumns(first)
-    size = F.size("_sorted")
-    lo = F.element_at("_sorted", F.floor((size + 1) / 2).cast("int"))
-    hi = F.element_at("_sorted", (F.floor(size / 2) + 1).cast("int"))
-    ma_ago = F.lag("volume_ma", m.volume_ma_period).over(w)
-    df = df.withColumns(
-        {
-            "_mad": F.avg(F.abs(C("_tp") - C("_tpma"))).over(last(m.cci_period)),
-            "stoch_d": F.avg("stoch_k").over(last(m.stoch_d)),
-            "bb_upper": C("bb_middle") + m.bollinger_std * C("_bbstd"),
-            "bb_lower": C("bb_middle") - m.bollinger_std * C("_bbstd"),
-            "rolling_median": (lo + hi) / 2.0,
-            "std_dev": F.sqrt("rolling_variance"),
-            "relative_volume": safe_divide(v, C("volume_ma"), 1.0),
-            "volume_trend": F.when(idx < m.volume_ma_period, 0.0).otherwise(
-                safe_divide(C("volume_ma") - ma_ago, ma_ago)
-            ),
-        }
-    )
-    df = df.withColumns(
-        {
-            "cci": safe_divide(C("_tp") - C("_tpma"), 0.015 * C("_mad")),
-            "volume_spike": flag(C("relative_volume") >= m.volume_spike_multiple),
-        }
-    )
-
-    # ------------------------------------------------------------ recurrences
-    one = {
-        "tr_s": S.wilder("_tr_s", C("true_range"), m.atr_period),
-        "gain_s": S.wilder("_gain_s", F.greatest(C("_delta"), F.lit(0.0)), m.rsi_period),
-        "loss_s": S.wilder("_loss_s", F.greatest(-C("_delta"), F.lit(0.0)), m.rsi_period),
-        "ema_fast": S.ema("_ema_fast", c, m.macd_fast),
-        "ema_slow": S.ema("_ema_slow", c, m.macd_slow),
-        "trx_s": S.wilder("_trx_s", C("true_range"), m.adx_period),
-        "up_s": S.wilder("_up_s", C("_updm"), m.adx_period),
-        "down_s": S.wilder("_down_s", C("_downdm"), m.adx_period),
-        "cum_v": S.Affine("_cum_v", v, 1.0),
-        "cum_pv": S.Affine("_cum_pv", C("_tp") * v, 1.0),
+        "ema_fast": (None, lambda: S.ema("_ema_fast", c, m.macd_fast)),
+        "ema_slow": (None, lambda: S.ema("_ema_slow", c, m.macd_slow)),
+        "trx_s": ("true_range", lambda: S.wilder("_trx_s", C("true_range"), m.adx_period)),
+        "up_s": ("_updm", lambda: S.wilder("_up_s", C("_updm"), m.adx_period)),
+        "down_s": ("_downdm", lambda: S.wilder("_down_s", C("_downdm"), m.adx_period)),
+        "cum_v": (None, lambda: S.Affine("_cum_v", C("volume"), 1.0)),
+        "cum_pv": ("_tp", lambda: S.Affine("_cum_pv", C("_tp") * C("volume"), 1.0)),
     }
-    one |= {f"ema_{p}": S.ema(f"ema_{p}", c, p) for p in m.ema_periods}
-    chosen = [r for k, r in one.items() if k in helper]
+    for p in m.ema_periods:
+        drives[f"ema_{p}"] = (None, lambda p=p: S.ema(f"ema_{p}", c, p))
+    chosen = []
+    for h in drives:
+        if h in helper:
+            drive, make = drives[h]
+            if drive:
+                k.use(drive)
+            chosen.append(make())
+    df = k.apply(df, set())
     if chosen or fills:
         df = S.recur(df, layout, chosen, list(fills))
-    if "macd" in helper or "ema_fast" in helper:
+    if "ema_fast" in helper:
         df = df.withColumn("macd", C("_ema_fast") - C("_ema_slow"))
     if "dx_s" in helper:
         ready = warm(m.adx_period)
@@ -176,11 +239,13 @@ def indicators(
     if "cum_v" in helper:
         done["vwap"] = F.when(
             C("_cum_v") > 0, C("_cum_pv") / F.greatest(C("_cum_v"), F.lit(1e-12))
-        ).otherwise(C("_tp"))
+        ).otherwise((C("high") + C("low") + c) / 3.0)
     if "signal" in helper:
         done["macd_histogram"] = C("macd") - C("macd_signal")
     if "dx_s" in helper:
         done["adx"] = F.when(warm(m.adx_period), C("_dx_s"))
+    if "tick_volume" in names:
+        done["tick_volume"] = F.coalesce(C("tick_volume"), F.lit(0.0))
     df = df.withColumns(done) if done else df
 
     kept = list(dict.fromkeys([*bars.columns, *names, *(extra or {}), *[f.name for f in fills]]))

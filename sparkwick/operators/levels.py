@@ -9,6 +9,7 @@ from sparkwick.config import DEFAULT, DEFAULT_LAYOUT, AnalysisConfig, Layout
 from sparkwick.functions.columns import safe_divide
 from sparkwick.operators import scan as S
 from sparkwick.operators.structure import _latest
+from sparkwick.sources.staging import stage
 
 C = F.col
 CELL_BUCKET = 4096
@@ -43,7 +44,7 @@ def clusters(
     bucket = None
     if not layout.bounded:
         bucket = "_cb"
-        cell = cell.withColumn("_cb", F.floor(F.coalesce("_cell", F.lit(0)) / CELL_BUCKET))
+        cell = stage(cell.withColumn("_cb", F.floor(F.coalesce("_cell", F.lit(0)) / CELL_BUCKET)))
     cell = S.scan(cell, keys, ["lower"], [S.Scan("_below", "prev", C("upper"))], bucket)
     gap = C("lower") - C("_below") > C("atr_now") * tolerance
     cell = cell.withColumn("_new", F.coalesce(gap.cast("int"), F.lit(1)))
@@ -189,6 +190,7 @@ def first_beyond(
         ext = kids.groupBy(*keys, "side", C("parent").alias("node")).agg(
             F.sort_array(F.collect_list(F.struct("slot", "x"))).alias("kids")
         )
+        ext = stage(ext)
         levels.append(ext.withColumn("lv", F.lit(lv)))
         ext = ext.select(
             *keys, "side", "node", F.array_max(F.transform("kids", lambda k: k["x"])).alias("x")
@@ -256,6 +258,7 @@ def sweeps(
         t = pool_table.join(hit, [*keys, "side", "cluster"], "left")
         t = t.select(*pool_table.columns, "h.*").withColumnRenamed("bar_idx", "hit_idx")
     else:
+        pool_table = stage(pool_table)
         t = first_beyond(bars, pool_table.withColumn("pid", C("cluster")), layout).drop("pid")
         at = bars.select(
             *keys, C("bar_idx").alias("hit_idx"), "ts", "high", "low", "close"

@@ -8,7 +8,7 @@ per bucket. Both parts join on the bucket, so the rows themselves are shuffled o
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,6 +42,9 @@ def scan(df: DataFrame, keys, order, scans: list[Scan], bucket: str | None = Non
     keys, order = list(keys), list(order)
     rank = F.struct(*order)
     part = [*keys, bucket] if bucket else keys
+    if bucket:
+        # one exchange serves the local windows, the bucket ends and the join
+        df = df.repartition(*part)
     fwd, rev = _spec(part, order, FORWARD), _spec(part, order, BACKWARD)
     past = (Window.unboundedPreceding, -1)
     local, tails = {}, {}
@@ -117,6 +120,7 @@ def index_bars(
         return df.withColumn("bar_idx", F.row_number().over(w).cast("long") - 1)
     df = df.withColumn("_bucket", time_bucket(F.col("ts"), span_seconds))
     part = [*layout.keys, "_bucket"]
+    df = df.repartition(*part)
     base = df.groupBy(*part).agg(F.count("*").alias("_n"))
     before = _spec(layout.keys, ["_bucket"], FORWARD).rowsBetween(Window.unboundedPreceding, -1)
     base = base.select(*part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
@@ -132,6 +136,21 @@ def index_bars(
 WARM = 16
 
 
+# a series this short fits one window partition, and decay ** -offset stays in range
+SHORT_SERIES = 2048
+
+
+def fit_layout(bars: DataFrame, layout: Layout = DEFAULT_LAYOUT) -> Layout:
+    """One window per series when every series is short (checked), chunks otherwise.
+
+    Runs one small job; give it staged bars.
+    """
+    longest = bars.groupBy(*layout.keys).count().agg(F.max("count")).first()[0] or 0
+    if longest <= SHORT_SERIES:
+        return replace(layout, bounded=True, chunk=SHORT_SERIES)
+    return layout
+
+
 def extend(df: DataFrame, layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
     """Copy each chunk's neighbour bars into it; ``core`` marks a bar's own chunk."""
     if layout.bounded:

@@ -1,6 +1,6 @@
 """Registered queries and the SQL that checks them."""
 
-from sparkwick.plans import candle_plans  # noqa: F401
+from sparkwick.plans import candle_plans, structure_plans  # noqa: F401
 from sparkwick.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkwick.config import Layout
 from sparkwick.operators import scan as S
 from sparkwick.sources.candles import DAY, candles_from_ticks
+from sparkwick.sources.staging import stage
 
 C = F.col
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,12 +102,16 @@ def supplier_days(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# chunks this small are exercised by the checks even on short series
+LONG = Layout(chunk=256)
+
+
 def h1_bars(spark: SparkSession, sf: str) -> DataFrame:
-    return S.index_bars(h1(spark, sf), span_seconds=YEAR)
+    return stage(S.index_bars(h1(spark, sf), span_seconds=YEAR))
 
 
 def d1_bars(spark: SparkSession, sf: str) -> DataFrame:
-    return S.index_bars(d1(spark, sf), span_seconds=20 * YEAR)
+    return stage(S.index_bars(d1(spark, sf), span_seconds=20 * YEAR))
 
 
 # --------------------------------------------------------------------------- oracle SQL

@@ -9,11 +9,13 @@ from sparkwick.functions import columns as P
 from sparkwick.operators import imbalance
 from sparkwick.operators.indicators import INDICATORS, indicators, snapshot
 from sparkwick.operators.patterns import PATTERNS, patterns
+from sparkwick.operators.scan import fit_layout, index_bars
 from sparkwick.plans.base import (
     ATR,
     D1,
     EFF,
     H1,
+    LONG,
     YEAR,
     bars_sql,
     d1,
@@ -31,6 +33,7 @@ from sparkwick.plans.base import (
     with_sql,
 )
 from sparkwick.sources import candles as src
+from sparkwick.sources.staging import stage
 
 C = F.col
 OHLC = ["open", "high", "low", "close"]
@@ -285,9 +288,10 @@ def encodings(spark, sf):
 # --------------------------------------------------------------------------- indicators
 
 
-def series(spark, sf, names, base=d1_bars):
-    rows = indicators(base(spark, sf), names)
-    return rows.select("symbol", C("bar_idx").alias("idx"), *qcols(names))
+def series(spark, sf, names, base=d1_bars, layout=None, digits=6):
+    bars = base(spark, sf)
+    rows = indicators(bars, names, layout=layout or fit_layout(bars))
+    return rows.select("symbol", C("bar_idx").alias("idx"), *qcols(names, digits))
 
 
 def series_sql(select: str, *ctes: str, src_name: str = "d1", tail: str = "b") -> str:
@@ -302,7 +306,7 @@ EMAS = {f"ema_{p}": ("close", 2 / (p + 1)) for p in (20, 50, 100, 200)}
 
 @query("i01_ema", series_sql(qsql(EMAS), smooth_sql("sm", "b", EMAS), tail="sm"))
 def i01(spark, sf):
-    return series(spark, sf, list(EMAS))
+    return series(spark, sf, list(EMAS), layout=LONG)
 
 
 @query("i02_sma", series_sql(f"{qs(roll('avg(close)', 20))} AS sma"))
@@ -318,7 +322,7 @@ def i02(spark, sf):
     ),
 )
 def i04(spark, sf):
-    return series(spark, sf, ["true_range", "atr"])
+    return series(spark, sf, ["true_range", "atr"], layout=LONG)
 
 
 GAINS = {"g": ("greatest(delta, 0)", 1 / 14), "l": ("greatest(-delta, 0)", 1 / 14)}
@@ -332,7 +336,7 @@ GAINS = {"g": ("greatest(delta, 0)", 1 / 14), "l": ("greatest(-delta, 0)", 1 / 1
     ),
 )
 def i05(spark, sf):
-    return series(spark, sf, ["rsi"])
+    return series(spark, sf, ["rsi"], layout=LONG)
 
 
 MACD = ["macd", "macd_signal", "macd_histogram"]
@@ -341,7 +345,7 @@ MACD = ["macd", "macd_signal", "macd_histogram"]
 @query(
     "i06_macd",
     series_sql(
-        f"{qs('macd')} AS macd, {qs('s')} AS macd_signal, {qs('macd - s')} AS macd_histogram",
+        f"{qs('macd', 4)} AS macd, {qs('s', 4)} AS macd_signal, {qs('macd - s', 4)} AS macd_histogram",
         smooth_sql("sm", "b", {"f": ("close", 2 / 13), "w": ("close", 2 / 27)}),
         "m AS MATERIALIZED (SELECT *, f - w AS macd FROM sm)",
         smooth_sql("sg", "m", {"s": ("macd", 0.2)}),
@@ -349,7 +353,7 @@ MACD = ["macd", "macd_signal", "macd_histogram"]
     ),
 )
 def i06(spark, sf):
-    return series(spark, sf, MACD)
+    return series(spark, sf, MACD, layout=LONG, digits=4)
 
 
 DM = {
@@ -374,7 +378,7 @@ DM = {
     ),
 )
 def i07(spark, sf):
-    return series(spark, sf, ["adx"], h1_bars)
+    return series(spark, sf, ["adx"], h1_bars, LONG)
 
 
 AGO = f"lag(close, 10) OVER {WIN}"
@@ -417,7 +421,7 @@ k1 AS (SELECT *, CASE WHEN hh <> ll THEN 100 * (close - ll) / (hh - ll) ELSE 500
     ),
 )
 def i10(spark, sf):
-    return series(spark, sf, ["stoch_k", "stoch_d"])
+    return series(spark, sf, ["stoch_k", "stoch_d"], layout=LONG)
 
 
 @query(
@@ -451,7 +455,7 @@ def i12(spark, sf):
     ),
 )
 def i13(spark, sf):
-    return series(spark, sf, ["vwap"])
+    return series(spark, sf, ["vwap"], layout=LONG)
 
 
 @query(
@@ -463,7 +467,8 @@ def i13(spark, sf):
 )
 def i14(spark, sf):
     names = ["rolling_mean", "rolling_median", "rolling_variance", "std_dev"]
-    rows = indicators(d1_bars(spark, sf), names)
+    bars = d1_bars(spark, sf)
+    rows = indicators(bars, names, layout=fit_layout(bars))
     return rows.select(
         "symbol",
         C("bar_idx").alias("idx"),
@@ -506,17 +511,16 @@ FROM sm GROUP BY 1""",
 )
 def i20(spark, sf):
     names = [*EMAS, "atr", "rsi"]
-    rows = indicators(h1_bars(spark, sf), names)
+    bars = h1_bars(spark, sf)
+    rows = indicators(bars, names, layout=fit_layout(bars))
     return snapshot(rows, names, ["symbol"]).select("symbol", *qcols(names))
 
 
 @query("i00_all_indicators")
 def all_indicators(spark, sf):
     """Every series at once over the supplier candles (checked piecewise by the i* queries)."""
-    from sparkwick.operators import scan as S
-
-    bars = S.index_bars(supplier_days(spark, sf), span_seconds=20 * YEAR)
-    return indicators(bars).select("symbol", "bar_idx", *INDICATORS)
+    bars = stage(index_bars(supplier_days(spark, sf), span_seconds=20 * YEAR))
+    return indicators(bars, layout=fit_layout(bars)).select("symbol", "bar_idx", *INDICATORS)
 
 
 # --------------------------------------------------------------------------- patterns
@@ -589,7 +593,7 @@ _BITS = ", ".join(
                "bearish_marubozu"))} AS bearish_score FROM k2""",
 )
 def k_patterns(spark, sf):
-    t = patterns(d1_bars(spark, sf))
+    t = patterns(d1_bars(spark, sf), LONG)
     return t.select(
         "symbol", C("bar_idx").alias("idx"), *PATTERNS, "bullish_score", "bearish_score"
     )
@@ -616,7 +620,8 @@ def k_patterns(spark, sf):
             ('valid', '1.0::DOUBLE')))} FROM s0""",
 )
 def e22(spark, sf):
-    t = imbalance.spread_stats(h1_bars(spark, sf))
+    bars = h1_bars(spark, sf)
+    t = imbalance.spread_stats(bars, layout=fit_layout(bars))
     return t.select(
         "symbol", C("bar_idx").alias("idx"), *qcols([f"spread_{n}" for n in imbalance.SPREAD])
     )
