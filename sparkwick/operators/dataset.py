@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -469,16 +467,14 @@ def select_by_correlation(train: DataFrame, features, threshold: float = 0.95) -
 def select_k_best(
     train: DataFrame, features, target: str, k: int = 50, classification: bool = False
 ) -> list[str]:
-    """Univariate F test, via Spark's own selector statistics."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import ANOVATest, FValueTest
+    """Univariate F test (ANOVA for classes), via Spark's own selector."""
+    from pyspark.ml.feature import UnivariateFeatureSelector, VectorAssembler
 
     v = VectorAssembler(inputCols=list(features), outputCol="_x").transform(train)
-    test = ANOVATest if classification else FValueTest
-    row = test.test(v, "_x", target).first()
-    scores = [0.0 if math.isnan(x) else x for x in row["fValues"]]
-    best = sorted(range(len(features)), key=lambda i: -scores[i])[:k]
-    return [features[i] for i in sorted(best)]
+    picker = UnivariateFeatureSelector(featuresCol="_x", labelCol=target, outputCol="_y")
+    picker = picker.setFeatureType("continuous").setSelectionThreshold(min(k, len(features)))
+    picker = picker.setLabelType("categorical" if classification else "continuous")
+    return [features[i] for i in sorted(picker.fit(v).selectedFeatures)]
 
 
 def binned(df: DataFrame, columns, bins: int = 16) -> DataFrame:
