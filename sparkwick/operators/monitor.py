@@ -431,7 +431,8 @@ def health(t: DataFrame, max_age_days: float = 30.0, threshold: float = 60.0) ->
     prediction_stability, calibration_error, coverage, feature_severity and, when known,
     target_severity, residual_severity, regime_shift and age_days.
     """
-    calm = lambda c: F.coalesce(100.0 * (1.0 - F.least(F.greatest(C(c), F.lit(0.0)), F.lit(1.0))), F.lit(70.0))
+    known = lambda c, x: F.when(C(c).isNotNull(), x).otherwise(70.0)
+    calm = lambda c: known(c, 100.0 * (1.0 - clip(C(c), 0.0, 1.0)))
     tiny = C("historical_error") <= EPS
     grow = F.when(tiny, F.when(C("rolling_error") <= EPS, 1.0).otherwise(2.0)).otherwise(
         C("rolling_error") / C("historical_error")
@@ -445,7 +446,7 @@ def health(t: DataFrame, max_age_days: float = 30.0, threshold: float = 60.0) ->
         "residual_drift": calm("residual_severity"),
         "rolling_error_score": clip(100.0 * (2.0 - grow)),
         "market_regime_change": calm("regime_shift"),
-        "training_age": F.coalesce(clip(100.0 * (1.0 - C("age_days") / max_age_days)), F.lit(70.0)),
+        "training_age": known("age_days", clip(100.0 * (1.0 - C("age_days") / max_age_days))),
         "prediction_coverage": clip(C("coverage") * 100.0),
     }
     t = t.withColumns({f"h_{k}": v for k, v in parts.items()})

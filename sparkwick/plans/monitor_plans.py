@@ -388,8 +388,8 @@ def importance_changes(spark, sf):
 
 @query(
     "q20_current_version",
-    """WITH v AS (SELECT o_custkey AS model, o_orderkey AS version, o_orderdate AS at, o_orderstatus = 'F' AS promoted FROM orders),
-c AS (SELECT model, arg_max(version, (at, version)) AS cur FROM v WHERE promoted GROUP BY 1)
+    """WITH v AS (SELECT o_custkey AS model, o_orderkey AS version, o_orderdate AS pd, o_orderstatus = 'F' AS promoted FROM orders),
+c AS (SELECT model, arg_max(version, (pd, version)) AS cur FROM v WHERE promoted GROUP BY 1)
 SELECT v.model, version, CASE WHEN version = cur THEN 'production' WHEN promoted THEN 'archived' ELSE 'candidate' END AS status
 FROM v LEFT JOIN c USING (model)""",
 )
