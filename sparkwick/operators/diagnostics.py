@@ -254,14 +254,19 @@ def normal_quantile(p: Column) -> Column:
 def qq_correlation(df: DataFrame, by, value) -> DataFrame:
     """Correlation of sorted residuals with normal quantiles.
 
-    Equal values form a run of plotting positions; each run is expanded in its own row group.
+    Equal values form a run of plotting positions. A run is cut into blocks that are spread over
+    the tasks before they are expanded, so one very frequent value does not end in one task.
     """
     by = list(by)
     counts = S.value_counts(df, by, value)
     total = counts.groupBy(*by).agg(F.sum("n").alias("_t"))
     t = counts.join(total, by)
     first = C("upto") - C("n") + 1
-    t = t.withColumn("_k", F.explode(F.sequence(first, C("upto"))))
+    block = 4096
+    t = t.withColumn("_b", F.explode(F.sequence(F.lit(0), F.floor((C("n") - 1) / block))))
+    t = t.repartition(*by, "value", "_b")
+    start = first + C("_b") * block
+    t = t.withColumn("_k", F.explode(F.sequence(start, F.least(C("upto"), start + block - 1))))
     z = normal_quantile((C("_k") - 0.5) / C("_t"))
     r = F.corr("value", z)
     ok = (F.count("*") >= 3) & (F.stddev_pop("value") >= 1e-15)

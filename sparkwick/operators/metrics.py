@@ -117,8 +117,8 @@ def per_class(conf: DataFrame, by) -> DataFrame:
     )
     t = conf.select(*by, F.explode(cells).alias("e")).select(*by, "e.*")
     t = t.groupBy(*by, "class").agg(*[F.sum(c).alias(c) for c in ("act", "prd", "tp")])
-    total = conf.groupBy(*by).agg(F.sum("n").alias("total"))
-    t = t.join(total, by) if by else t.crossJoin(total)
+    total = conf.groupBy(*by, F.lit(1).alias("_k")).agg(F.sum("n").alias("total"))
+    t = t.withColumn("_k", F.lit(1)).join(total, [*by, "_k"])
     fp = C("prd") - C("tp")
     negatives = C("total") - C("act")
     prec, rec = safe_divide(C("tp"), C("prd")), safe_divide(C("tp"), C("act"))

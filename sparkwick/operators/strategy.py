@@ -32,19 +32,17 @@ def _sign(x: Column) -> Column:
     return F.when(x > 0, 1).when(x < 0, -1).otherwise(0)
 
 
-def _verdict(applies, passed, score, confidence, direction=None, note=None) -> Column:
-    """One rule outcome; everything is zero where the rule does not apply."""
-    gate = lambda x: F.when(applies, x).otherwise(0.0)
+def _verdict(applies, passed, score, confidence, direction=None, note=None) -> dict[str, Column]:
+    """One rule outcome by field; everything is zero where the rule does not apply."""
     where = direction if direction is not None else F.lit(0)
-    return F.struct(
-        F.when(~F.coalesce(applies, F.lit(False)), NA).when(passed, PASS).otherwise(FAIL).alias("status"),
-        gate(clip(score)).cast("double").alias("score"),
-        gate(clip(F.lit(confidence) if not isinstance(confidence, Column) else confidence))
-        .cast("double")
-        .alias("confidence"),
-        F.when(applies, where).otherwise(0).cast("int").alias("direction"),
-        (note if note is not None else F.lit("")).alias("note"),
-    )
+    sure = confidence if isinstance(confidence, Column) else F.lit(confidence)
+    return {
+        "status": F.when(~F.coalesce(applies, F.lit(False)), NA).when(passed, PASS).otherwise(FAIL),
+        "score": F.when(applies, clip(score)).otherwise(0.0).cast("double"),
+        "confidence": F.when(applies, clip(sure)).otherwise(0.0).cast("double"),
+        "direction": F.when(applies, where).otherwise(0).cast("int"),
+        "note": note if note is not None else F.lit(""),
+    }
 
 
 def _fresh(bars: Column, limit: int, slope: float, stale: float) -> tuple[Column, Column]:
@@ -129,7 +127,7 @@ def _choch(max_bars_since: int = 20):
     )
 
 
-def _zone(side: str, sign: int, limit: float) -> Column:
+def _zone(side: str, sign: int, limit: float) -> dict[str, Column]:
     dist = C(f"sr_distance_to_{side}")
     near = (dist >= 0) & (dist <= limit)
     base = F.when(near, F.greatest(F.lit(0.0), 100.0 - dist / max(limit, 0.01) * 60.0)).otherwise(30.0)
@@ -373,19 +371,23 @@ PRESETS = (
 )
 
 
-def _outcomes(s: Strategy) -> list[Column]:
+def _outcomes(s: Strategy, made: dict) -> list[Column]:
+    """Rule outcomes of a strategy; ``made`` shares a rule's columns between strategies."""
     out = []
     for i, (rule, weight) in enumerate(s.weights.items()):
         if rule in s.disabled:
             continue
-        r = RULES[rule](**s.params.get(rule, {}))
+        params = s.params.get(rule, {})
+        key = (rule, repr(sorted(params.items())))
+        if key not in made:
+            made[key] = [c.alias(n) for n, c in RULES[rule](**params).items()]
         out.append(
             F.struct(
                 F.lit(i).alias("pos"),
                 F.lit(rule).alias("rule_name"),
                 F.lit(CATEGORY[rule]).alias("category"),
                 F.lit(float(weight)).alias("weight"),
-                *[r[f].alias(f) for f in ("status", "score", "confidence", "direction", "note")],
+                *made[key],
             )
         )
     return out
@@ -399,8 +401,9 @@ def with_results(features: DataFrame, strategies=PRESETS) -> DataFrame:
     for s in strategies:
         if s.issues():
             raise ValueError(f"{s.name}: {s.issues()}")
+    made: dict = {}
     per = [
-        F.struct(F.lit(s.name).alias("strategy"), F.array(*_outcomes(s)).alias("results"))
+        F.struct(F.lit(s.name).alias("strategy"), F.array(*_outcomes(s, made)).alias("results"))
         for s in strategies
     ]
     t = features.withColumn("_s", F.explode(F.array(*per)))

@@ -94,9 +94,8 @@ WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) GROUP BY 1""",
 )
 def closed_bars(spark, sf):
     """Bars still forming at the newest event are left out."""
-    newest = table(spark, sf, "events").agg(F.max("ts").alias("_now"))
-    bars = h1(spark, sf).crossJoin(F.broadcast(newest))  # exactly one row
-    return src.closed_only(bars, C("_now"), 3600).groupBy("symbol").agg(
+    newest = table(spark, sf, "events").agg(F.max("ts")).first()[0]
+    return src.closed_only(h1(spark, sf), F.lit(newest), 3600).groupBy("symbol").agg(
         F.count("*").alias("n_closed")
     )
 
