@@ -238,7 +238,7 @@ def chronological_split(
     if not (0 < train < 1 and 0 <= val < 1 and train + val < 1):
         raise ValueError("need 0 < train < 1, 0 <= val < 1 and train + val < 1")
     n = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    t = df.join(n, list(keys))
+    t = S.attach(df, n, keys, index)
     n_train = F.greatest(F.floor(C("_n") * train), F.lit(1))
     n_val = F.floor(C("_n") * val)
     n_val = F.when(n_train + n_val >= C("_n"), F.greatest(C("_n") - n_train - 1, F.lit(0))).otherwise(
@@ -264,7 +264,7 @@ def walk_forward(
 ) -> DataFrame:
     """One row per sample, fold and role. Fold limits are arithmetic, so no join is needed."""
     n = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    t = df.join(n, list(keys))
+    t = S.attach(df, n, keys, index)
     test = (
         F.lit(test_size)
         if test_size

@@ -52,7 +52,7 @@ def profile(df: DataFrame, by, value) -> DataFrame:
         (F.count_if(C("v").isNull()) / F.count("*") * 100.0).alias("missing_percentage"),
     )
     far = F.abs((C("v") - C("mean")) / C("std")) > 3
-    out = t.join(m.select(*by, "mean", "std"), by).groupBy(*by).agg(
+    out = S.attach(t, m.select(*by, "mean", "std"), by, "v").groupBy(*by).agg(
         (F.count_if((C("std") >= 1e-15) & far) / F.count("v") * 100.0).alias("outlier_percentage")
     )
     qs = S.quantiles(t, by, "v", {"q25": 0.25, "median": 0.5, "q75": 0.75})
@@ -260,7 +260,7 @@ def qq_correlation(df: DataFrame, by, value) -> DataFrame:
     by = list(by)
     counts = S.value_counts(df, by, value)
     total = counts.groupBy(*by).agg(F.sum("n").alias("_t"))
-    t = counts.join(total, by)
+    t = S.attach(counts, total, by, "value")
     first = C("upto") - C("n") + 1
     block = 4096
     t = t.withColumn("_b", F.explode(F.sequence(F.lit(0), F.floor((C("n") - 1) / block))))
@@ -322,7 +322,7 @@ def serial_correlation(
     keys = list(keys)
     t = df.select(*keys, "bar_idx", col(residual).alias("e"))
     mean = t.groupBy(*keys).agg(F.avg("e").alias("_m"))
-    t = t.join(mean, keys)
+    t = S.attach(t, mean, keys, "bar_idx")
     lay = replace(layout, keys=tuple(keys), back=max(layout.back, max_lag + S.WARM))
     x = S.extend(t, lay)
     w = S.bar_window(lay)

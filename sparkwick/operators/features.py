@@ -183,7 +183,7 @@ def bar_features(
     )
     rows = S.core_rows(patterns(rows, layout, extended=True))
     stats = structure.series_stats(bars, layout)
-    rows = rows.join(stats, list(layout.keys))
+    rows = S.attach(rows, stats, layout.keys, "bar_idx", layout.bounded)
     atr = F.coalesce(C("atr"), F.lit(0.0))
     unit = F.greatest(atr, F.lit(1e-12))
     close, prev = C("close"), C("_prev_close")
@@ -405,7 +405,7 @@ def decision_windows(
         raise ValueError("window >= 3, horizon >= 1 and stride >= 1 are required")
     keys = list(layout.keys)
     n = bars.groupBy(*keys).agg(F.max("bar_idx").alias("_last"))
-    t = bars.join(n, keys)
+    t = S.attach(bars, n, keys, "bar_idx", layout.bounded)
     first = F.greatest(F.ceil((C("bar_idx") - (window - 1)) / stride), F.lit(0)).cast("long")
     last = F.least(
         F.floor(C("bar_idx") / stride), F.floor((C("_last") - horizon - (window - 1)) / stride)

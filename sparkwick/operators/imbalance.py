@@ -187,7 +187,7 @@ def order_blocks(
     keys = list(layout.keys)
     blocks = block_candidates(bars, cfg, layout)
     sizes = now.select(*keys, "n_bars")
-    tail = bars.join(sizes, keys).where(C("bar_idx") >= C("n_bars") - cfg.ob_max_age)
+    tail = S.attach(bars, sizes, keys, "bar_idx", layout.bounded).where(C("bar_idx") >= C("n_bars") - cfg.ob_max_age)
     tail = tail.select(*keys, C("bar_idx").alias("_i"), C("high").alias("_h"), C("low").alias("_l"))
     b = blocks.join(tail, keys).where(C("_i") > C("bar_idx") + cfg.ob_horizon)
     bull = C("direction") == "bullish"
@@ -286,6 +286,6 @@ def spread_stats(
 ) -> DataFrame:
     """Spread statistics as of every bar."""
     rows = indicators(bars, ["atr"], cfg, layout, extra=spread_columns(cfg, layout))
-    rows = rows.join(series_stats(bars, layout), list(layout.keys))
+    rows = S.attach(rows, series_stats(bars, layout), layout.keys, "bar_idx", layout.bounded)
     rows = rows.withColumns(spread_values(cfg, F.coalesce(C("atr"), C("atr_fallback"))))
     return rows.select(*bars.columns, *[f"spread_{n}" for n in SPREAD])

@@ -25,7 +25,8 @@ def clusters(
     cell below is wider than the tolerance.
     """
     keys = [*layout.keys, "kind"]
-    ev = swing_events.join(now.select(*layout.keys, "atr_now"), list(layout.keys))
+    facts = now.select(*layout.keys, "atr_now")
+    ev = S.attach(swing_events, facts, layout.keys, "bar_idx", layout.bounded)
     tol = C("atr_now") * tolerance
     ev = ev.withColumn("_cell", F.when(tol > 0, F.floor(C("price") / tol)))
     # without a tolerance only equal prices belong together

@@ -85,7 +85,7 @@ def histogram(df: DataFrame, by, value, bins: int = 10) -> DataFrame:
     )
     pos = F.floor((C("v") - C("_lo")) / ((C("_hi") - C("_lo")) / bins))
     at = F.greatest(F.least(pos, F.lit(bins - 1)), F.lit(0)).cast("long")
-    n = t.join(lim, by).withColumn("bin", at).groupBy(*by, "bin").agg(F.count("*").alias("n"))
+    n = S.attach(t, lim, by, "v").withColumn("bin", at).groupBy(*by, "bin").agg(F.count("*").alias("n"))
     full = lim.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).cast("long"))
     step = (C("_hi") - C("_lo")) / bins
     return full.join(n, [*by, "bin"], "left").select(
@@ -159,7 +159,7 @@ def _score_counts(df: DataFrame, by, y, probs) -> DataFrame:
     keys = [*by, "class"]
     t = S.value_counts(one_vs_rest(df, by, y, probs), keys, "score", {"pos": C("pos")})
     total = t.groupBy(*keys).agg(F.sum("pos").alias("_P"), F.sum("n").alias("_N"))
-    return t.join(total, keys).where((C("_P") > 0) & (C("_P") < C("_N")))
+    return S.attach(t, total, keys, "value").where((C("_P") > 0) & (C("_P") < C("_N")))
 
 
 def _macro(df: DataFrame, scores: DataFrame, by, name: str, empty: float) -> DataFrame:

@@ -9,6 +9,7 @@ from sparkwick.functions.columns import clip, safe_divide
 from sparkwick.operators import metrics as M
 from sparkwick.operators import scan as S
 from sparkwick.operators.gram import gram_by_key
+from sparkwick.sources.staging import stage
 
 C = F.col
 EPS = 1e-12
@@ -93,7 +94,7 @@ def ks_test(baseline: DataFrame, live: DataFrame, keys, value: str = "value") ->
     both = b.unionByName(live.select(*keys, C(value), zero.alias("b"), one.alias("l")))
     t = S.value_counts(both, keys, value, {"b": C("b"), "l": C("l")})
     n = t.groupBy(*keys).agg(F.sum("b").alias("nb"), F.sum("l").alias("nl"))
-    t = t.join(n, keys)
+    t = S.attach(t, n, keys, "value")
     gap = F.abs(C("b_upto") / C("nb") - C("l_upto") / C("nl"))
     t = t.groupBy(*keys).agg(
         F.max(gap).alias("ks_statistic"), F.max("nb").alias("nb"), F.max("nl").alias("nl")
@@ -111,10 +112,10 @@ def psi(baseline: DataFrame, live: DataFrame, keys, value: str = "value", bins:
     keys = list(keys)
     fr = {f"e{i}": i / bins for i in range(bins + 1)}
     edges = S.quantiles(baseline, keys, value, fr)
-    edges = edges.select(*keys, F.array_distinct(F.array(*fr)).alias("edges"))
+    edges = stage(edges.select(*keys, F.array_distinct(F.array(*fr)).alias("edges")))
 
     def counts(df: DataFrame, name: str) -> DataFrame:
-        t = df.select(*keys, C(value).alias("v")).join(edges, keys)
+        t = S.attach(df.select(*keys, C(value).alias("v")), edges, keys, "v")
         below = F.size(F.filter("edges", lambda e: e <= C("v")))
         last = F.size("edges") - 1
         inside = (C("v") >= F.element_at("edges", 1)) & (C("v") <= F.element_at("edges", -1))
@@ -178,7 +179,8 @@ def feature_drift(
     base = _moments(baseline, keys, "value", "train")
     base = base.withColumn("_unit", F.when(C("train_std") < EPS, 1.0).otherwise(C("train_std")))
     missing = F.avg(F.when(C(valid), 0.0).otherwise(1.0)) if valid else F.lit(0.0)
-    seen = live.join(base.select(*keys, "train_mean", "_unit"), keys).groupBy(*keys).agg(
+    facts = base.select(*keys, "train_mean", "_unit")
+    seen = S.attach(live, facts, keys, "value").groupBy(*keys).agg(
         F.avg("value").alias("live_mean"),
         F.stddev_pop("value").alias("live_std"),
         (F.min("value") != F.max("value")).alias("_varies"),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from sparkwick.config import DEFAULT_LAYOUT, Layout
 from sparkwick.functions.columns import col, epoch_us
+from sparkwick.sources.staging import stage
 
 FORWARD, BACKWARD = "asc", "desc"
 
@@ -104,6 +105,30 @@ def scan(df: DataFrame, keys, order, scans: list[Scan], bucket: str | None = Non
     return df.drop(*helpers, *edge, *[f"_l_{n}" for n in local], *[f"_c_{n}" for n in local])
 
 
+# --------------------------------------------------------------------------- small facts
+
+BROADCAST_ROWS = 100_000
+SALTS = 32
+
+
+def attach(df: DataFrame, facts: DataFrame, keys, salt: str, bounded: bool = False) -> DataFrame:
+    """Join one fact row per key onto many rows per key.
+
+    The facts are computed once and counted: a table of proven small size is broadcast, a larger
+    one is joined on the key and a salt from the ``salt`` column, so a key that holds a large part
+    of the rows is spread over tasks. ``bounded`` groups cannot be hot and take a plain join.
+    """
+    keys = list(keys)
+    if bounded:
+        return df.join(facts, keys)
+    facts = stage(facts)
+    if facts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return df.join(F.broadcast(facts), keys)
+    spread = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    at = F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")
+    return df.withColumn("_salt", at).join(spread, [*keys, "_salt"]).drop("_salt")
+
+
 # --------------------------------------------------------------------------- bar positions
 
 
@@ -305,7 +330,7 @@ def value_buckets(df: DataFrame, keys, value: str, parts: int = 64) -> DataFrame
         ).alias("_cuts")
     )
     rank = F.size(F.filter(F.col("_cuts"), lambda c: c < F.col(value)))
-    return df.join(cuts, list(keys)).withColumn("_vb", rank).drop("_cuts")
+    return attach(df, cuts, keys, value).withColumn("_vb", rank).drop("_cuts")
 
 
 def value_counts(df: DataFrame, keys, value, sums: dict[str, Column] | None = None) -> DataFrame:
@@ -333,7 +358,7 @@ def quantiles(
         )
     counts = value_counts(df, keys, value)
     total = counts.groupBy(*keys).agg(F.sum("n").alias("_total"))
-    counts = counts.join(total, keys)
+    counts = attach(counts, total, keys, "value")
     picks = []
     for n, q in fractions.items():
         at = (F.col("_total") - 1) * F.lit(q)

@@ -46,7 +46,7 @@ def with_atr(
 
 
 def _effective(rows: DataFrame, stats: DataFrame, layout: Layout) -> DataFrame:
-    rows = rows.join(stats, list(layout.keys))
+    rows = S.attach(rows, stats, layout.keys, "bar_idx", layout.bounded)
     return rows.withColumn("atr_eff", F.when(C("atr") > 0, C("atr")).otherwise(C("atr_fallback")))
 
 

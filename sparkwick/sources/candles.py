@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from sparkwick.config import SERIES_KEYS
 from sparkwick.functions.columns import epoch_us
-from sparkwick.operators.scan import Scan, scan, time_bucket
+from sparkwick.operators.scan import Scan, attach, scan, time_bucket
 
 PRICES = ("open", "high", "low", "close")
 REQUIRED = ("ts", *PRICES, "volume")
@@ -238,7 +238,7 @@ def fill_gaps(df: DataFrame, keys=SERIES_KEYS, span_seconds: int = 30 * DAY) ->
     """
     stepped = with_steps(df, keys, span_seconds)
     step = modal_step(stepped, keys)
-    grid = stepped.drop("step_us").join(step, list(keys))
+    grid = attach(stepped.drop("step_us"), step, keys, "_us")
     usable = F.col("modal_us") > 0
     on_grid = ~usable | ((F.col("_us") - F.col("first_us")) % F.col("modal_us") == 0)
     grid = grid.where(F.coalesce(on_grid, F.lit(True)))
@@ -288,7 +288,7 @@ def audit(df: DataFrame, seq: str, keys=SERIES_KEYS, span_seconds: int = 30 * DA
         (F.sum("back") > 0).alias("is_unsorted"),
     )
     gaps = (
-        rows.join(step, list(keys))
+        attach(rows, step, keys, "_us")
         .groupBy(*keys, "modal_us")
         .agg(
             F.count_if(

@@ -234,3 +234,12 @@ def test_normal_quantile(spark):
 
     got = [r[0] for r in df.select(diagnostics.normal_quantile(F.col("p"))).collect()]
     assert got == pytest.approx([NormalDist().inv_cdf(x) for x in p], abs=1e-7)
+
+
+def test_attach_is_the_same_join_beyond_the_broadcast_limit(spark, monkeypatch):
+    df = spark.range(1000).select(F.when(F.col("id") < 700, 0).otherwise(F.col("id") % 5).alias("k"), "id")
+    facts = df.groupBy("k").agg(F.count("*").alias("n"))
+    key = lambda t: sorted(map(tuple, t.select("k", "id", "n").collect()))
+    small = key(S.attach(df, facts, ["k"], "id"))
+    monkeypatch.setattr(S, "BROADCAST_ROWS", 2)
+    assert key(S.attach(df, facts, ["k"], "id")) == small == key(df.join(facts, "k"))
