@@ -188,7 +188,8 @@ def extend(df: DataFrame, layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
     homes = F.array_compact(
         F.array(own, F.when(pos >= b - back, own + 1), F.when((own > 0) & (pos < fwd), own - 1))
     )
-    df = df.withColumn("chunk", F.explode(homes))
+    # everything derived is added after the exchange, so the carry pass and the row pass share it
+    df = df.withColumn("chunk", F.explode(homes)).repartition(*layout.keys, "chunk")
     return df.withColumns(
         {
             "core": F.floor(F.col("bar_idx") / b) == F.col("chunk"),
