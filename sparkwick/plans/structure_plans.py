@@ -21,7 +21,6 @@ from sparkwick.plans.base import (
     q,
     qcols,
     qs,
-    qsql,
     query,
     with_sql,
 )
