@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwick.llm import bpe, packing
+from sparkwick.llm import bpe, jaccard, langid, lines, packing
 from sparkwick.llm.common import stage
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -28,6 +28,59 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose word shingles overlap by three quarters."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return jaccard.join(docs).select("doc_id", "n_shingles", "component_id", "is_kept")
+
+
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the later copies of three-line windows."""
+    out = lines.drop_repeated_windows(_documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select(
+        "doc_id",
+        "n_lines",
+        "n_removed",
+        F.length("text").cast("long").alias("n_chars_kept"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
+OP7_SQL = """
+WITH d AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents
+), line AS (
+  SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM d WHERE text IS NOT NULL
+), win AS (
+  SELECT doc_id, i, row_number() OVER (
+    PARTITION BY line, line2, line3 ORDER BY doc_id, i) AS rank
+  FROM (
+    SELECT doc_id, i, line, lead(line, 1) OVER w AS line2, lead(line, 2) OVER w AS line3
+    FROM line WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+  ) WHERE line3 IS NOT NULL
+), gone AS (
+  SELECT DISTINCT doc_id, i + k AS i FROM win, (VALUES (0), (1), (2)) AS o(k) WHERE rank > 1
+), kept AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS kept, count(*) AS n
+  FROM line ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT d.doc_id,
+  CASE WHEN text IS NULL THEN 0 ELSE len(l) END AS n_lines,
+  CASE WHEN text IS NULL THEN 0 ELSE len(l) - coalesce(n, 0) END AS n_removed,
+  CASE WHEN text IS NOT NULL THEN length(coalesce(kept, '')) END AS n_chars_kept,
+  CASE WHEN text IS NOT NULL THEN sha256(coalesce(kept, '')) END AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by profiles learned from four of five folds."""
+    docs = _documents(spark, sf_dir)
+    profiles = langid.learn(docs.where(~langid.held_out()))
+    docs = docs.select("doc_id", "text", langid.held_out().alias("held_out"))
+    return langid.identify(docs, profiles).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
     pieces = stage(packing.cut_pieces(_documents(spark, sf_dir), TOKENIZER), "pieces")
@@ -35,8 +88,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard": op1_jaccard,
     "op2_bpe": op2_bpe,
+    "op7_lines": op7_lines,
     "op9_packing": op9_packing,
+    "op10_langid": op10_langid,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_lines": OP7_SQL}

@@ -116,6 +116,6 @@ def test_pack_rows(spark, tmp_path, monkeypatch):
         assert g.offset.tolist() == [0, *g.length.cumsum().tolist()[:-1]]
         assert g.length.sum() <= 2048
     used, need = got.sequence_id.nunique(), packing.lower_bound(got.length.to_numpy())
-    assert used <= need + 3
+    assert used <= 1.03 * need + 3
     none = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack(stage(packing.cut_pieces(none, PATH))).count() == 0
