@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwick.llm import bpe, jaccard, langid, lines, packing
+from sparkwick.llm import bpe, jaccard, langid, lines, packing, pii
 from sparkwick.llm.common import stage
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -34,6 +34,19 @@ def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(docs).select("doc_id", "n_shingles", "component_id", "is_kept")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts of base spans and all spans."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    found = pii.find(docs, pii.fit(docs))
+    base = F.col("base")
+    return found.select(
+        "doc_id",
+        *(pii.count(base, kind).alias(f"n_{kind}") for kind in pii.BASE),
+        F.sha2(pii.listed(base).cast("binary"), 256).alias("base_sha256"),
+        pii.listed(pii.merged(base, F.col("added"))).alias("spans"),
+    )
+
+
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the later copies of three-line windows."""
     out = lines.drop_repeated_windows(_documents(spark, sf_dir).select("doc_id", "text"))
@@ -90,6 +103,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard": op1_jaccard,
     "op2_bpe": op2_bpe,
+    "op4_pii": op4_pii,
     "op7_lines": op7_lines,
     "op9_packing": op9_packing,
     "op10_langid": op10_langid,
