@@ -7,8 +7,8 @@ least ``required(|a|, |b|)`` shingles. The search runs in four steps.
    and only classes are searched.
 2. An inverted index over prefixes: in one global order (frequent shingles last) two linked
    classes must share a shingle among their first |a| - required + 1. Lists of up to ``LONG``
-   classes give all their pairs that length and position allow. A longer list first gives its
-   members paired with one of them; members that this links need not meet again.
+   classes give their pairs, and how many lists a pair shares bounds its overlap. A longer list
+   first gives its members paired with one of them; members that this links need not meet again.
 3. T-occurrence search: the candidates of a class are indexed by shingle; its short inverted lists
    are merged and counted, candidates short of the required overlap by more than the number of
    long lists are dropped, the rest are probed in the long lists by binary search (DivideSkip).
@@ -162,8 +162,8 @@ def _class(x: np.ndarray) -> tuple[int, int]:
 
 
 _DOCS = "rid long, n long, cid long, other long"
-_POSTINGS = "h long, cid long, n int, pos int"
-_FOUND = "kind int, a long, b long, n int, pos int"
+_POSTINGS = "h long, cid long, place long"
+_FOUND = "kind int, a long, b long, na int, nb int, c int"
 
 
 def _postings(frequent: np.ndarray):
@@ -190,8 +190,9 @@ def _postings(frequent: np.ndarray):
                 yield _batch(_POSTINGS, [
                     np.concatenate([x for x, _, _ in out]),
                     np.repeat(np.array([c for _, c, _ in out], dtype=np.int64), sizes),
-                    np.repeat([n for _, _, n in out], sizes),
-                    np.concatenate([np.arange(s) for s in sizes]),
+                    # size of the set and place in it, in one number
+                    np.concatenate([(n << 32) + np.arange(s) for s, (_, _, n) in
+                                    zip(sizes, out, strict=True)]),
                 ])
 
     return run
@@ -204,40 +205,18 @@ def _possible(n1, p1, n2, p2):
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs (kind 0: a, b) of short lists; members (kind 1: a = shingle, b = class) of
-    long ones together with their pairs with the first member. Rows come sorted by shingle.
+    """What inverted lists give; rows come sorted by shingle.
 
-    A list may span batches; of a long one only its first ``LONG`` members are held.
+    Kind 0: pairs (a, b) of short lists, with set sizes and the number of shared entries. Kind 2:
+    pairs of a long list's members with its first one. Kind 1: members of long lists (a = shingle,
+    b = class, na = set size, nb = place). A list may span batches; of a long one only the
+    members of the current batch and its first are held.
     """
-    held = [np.zeros(0, dtype=np.int64) for _ in range(4)]
+    held = [np.zeros(0, dtype=np.int64) for _ in range(3)]
     spilled = False  # whether the list that the held rows begin has been found long
 
-    def pairs(h, cid, n, pos) -> Iterator[pa.RecordBatch]:
-        at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        size = np.diff(np.append(at, len(h)))
-        left, right = [], []
-        for s in np.unique(size[(size > 1) & (size <= LONG)]).tolist():
-            i, j = np.triu_indices(s, 1)
-            first = at[size == s]
-            left.append((first[:, None] + i).ravel())
-            right.append((first[:, None] + j).ravel())
-        for first, s in zip(at[size > LONG].tolist(), size[size > LONG].tolist(), strict=True):
-            left.append(np.full(s - 1, first))
-            right.append(np.arange(first + 1, first + s))
-        if left:
-            i, j = np.concatenate(left), np.concatenate(right)
-            ok = _possible(n[i], pos[i], n[j], pos[j]) & (cid[i] != cid[j])
-            a, b = cid[i[ok]], cid[j[ok]]
-            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-            zero = np.zeros(len(both), dtype=np.int32)
-            yield _batch(_FOUND, [zero, both[:, 0], both[:, 1], zero, zero])
-        member = np.repeat(size > LONG, size)
-        if member.any():
-            k = np.ones(int(member.sum()), dtype=np.int32)
-            yield _batch(_FOUND, [k, h[member], cid[member], n[member], pos[member]])
-
     for batch in batches:
-        new = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)]
+        new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
         x = [np.concatenate([a, b]) for a, b in zip(held, new, strict=True)]
         if not len(x[0]):
             continue
@@ -247,34 +226,83 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = int(np.searchsorted(x[0], x[0][-1]))
         if cut:
             done = [c[:cut] for c in x]
-            if spilled:  # members of its head have been passed on before
+            if spilled:  # the first list's head has been passed on before
                 end = int(np.searchsorted(done[0], done[0][0], side="right"))
-                yield from _tail([c[:end] for c in done])
+                yield from _long_list([c[:end] for c in done], 1)
                 done = [c[end:] for c in done]
             spilled = False
             if len(done[0]):
-                yield from pairs(*done)
+                yield from _lists(done)
         x = [c[cut:] for c in x]
-        if len(x[0]) > 4 * LONG:
-            yield from _tail(x) if spilled else pairs(*x)
+        if len(x[0]) > LONG:
+            yield from _long_list(x, int(spilled))
             spilled = True
             x = [c[:1] for c in x]
         held = x
     if len(held[0]):
-        yield from _tail(held) if spilled else pairs(*held)
+        yield from _long_list(held, 1) if spilled else _lists(held)
+
+
+def _lists(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    h, cid, place = x
+    n = place >> 32
+    at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    size = np.diff(np.append(at, len(h)))
+    left, right = [], []
+    for s in np.unique(size[(size > 1) & (size <= LONG)]).tolist():
+        i, j = np.triu_indices(s, 1)
+        first = at[size == s]
+        left.append((first[:, None] + i).ravel())
+        right.append((first[:, None] + j).ravel())
+    if left:
+        i, j = np.concatenate(left), np.concatenate(right)
+        i, j = np.where(cid[i] < cid[j], i, j), np.where(cid[i] < cid[j], j, i)
+        fits = required(n[i], n[j]) <= np.minimum(n[i], n[j])
+        i, j = i[fits], j[fits]
+        order = np.lexsort((cid[j], cid[i]))
+        i, j = i[order], j[order]
+        a, b = cid[i], cid[j]
+        first = np.flatnonzero(
+            np.concatenate([[len(a) > 0], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
+        )
+        yield _batch(_FOUND, [
+            np.zeros(len(first), dtype=np.int32), a[first], b[first], n[i[first]], n[j[first]],
+            np.diff(np.append(first, len(a))),
+        ])
+    for first, s in zip(at[size > LONG].tolist(), size[size > LONG].tolist(), strict=True):
+        yield from _long_list([c[first : first + s] for c in x], 0)
+
+
+def _long_list(x: list[np.ndarray], known: int) -> Iterator[pa.RecordBatch]:
+    """Entries of one long list, its first member in row 0; ``known`` rows were passed on before."""
+    h, cid, place = x
+    n, pos = place >> 32, place & 0xFFFFFFFF
+    ok = _possible(n[:1], pos[:1], n, pos) & (cid != cid[0])
+    a, b = np.full(int(ok.sum()), cid[0]), cid[ok]
+    zero = np.zeros(len(a), dtype=np.int32)
+    yield _batch(_FOUND, [zero + 2, np.minimum(a, b), np.maximum(a, b), zero, zero, zero])
+    h, cid, n, pos = h[known:], cid[known:], n[known:], pos[known:]
+    one = np.ones(len(h), dtype=np.int32)
+    yield _batch(_FOUND, [one, h, cid, n, pos, one])
 
 
-def _tail(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """More members of a long list whose first member is in row 0 and has been passed on."""
-    h, cid, n, pos = x
-    if len(h) < 2:
-        return
-    ok = _possible(n[:1], pos[:1], n[1:], pos[1:]) & (cid[1:] != cid[0])
-    a, b = np.full(int(ok.sum()), cid[0]), cid[1:][ok]
-    zero = np.zeros(len(a), dtype=np.int32)
-    yield _batch(_FOUND, [zero, np.minimum(a, b), np.maximum(a, b), zero, zero])
-    one = np.ones(len(h) - 1, dtype=np.int32)
-    yield _batch(_FOUND, [one, h[1:], cid[1:], n[1:], pos[1:]])
+def _enough(found: DataFrame, members: DataFrame) -> DataFrame:
+    """Candidate pairs that can still reach the required overlap.
+
+    Shared shingles up to the smaller end of two prefixes are entries of both, so they were
+    counted, but for those in long lists; beyond it lies at most the larger rest.
+    """
+    short = found.where("kind = 0").groupBy("a", "b").agg(
+        F.sum("c").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb")
+    )
+    often = members.groupBy("b").agg(F.count("*").alias("l"))
+    short = short.join(often.select(F.col("b").alias("a"), F.col("l").alias("la")), "a", "left")
+    short = short.join(often.select("b", F.col("l").alias("lb")), "b", "left")
+    rest = lambda n: F.ceil(F.col(n) * NUMERATOR / DENOMINATOR) - 1
+    uncounted = F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0)))
+    need = F.ceil((F.col("na") + F.col("nb")) * NUMERATOR / (NUMERATOR + DENOMINATOR))
+    short = short.where(F.col("c") + uncounted + F.greatest(rest("na"), rest("nb")) >= need)
+    return short.select("a", "b").union(found.where("kind = 2").select("a", "b")).distinct()
 
 
 def divide_skip(query: np.ndarray, candidates: list[np.ndarray]) -> np.ndarray:
@@ -340,14 +368,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch("cid long, items binary", [cids, found])
 
 
-def _links(pairs: DataFrame, rows: DataFrame, reps: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b: classes) that link, found by search in the sets of their classes."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    needed = ends.join(reps, "cid").select("cid", "rid")
-    sets = rows.join(needed, "rid").select("cid", "text").mapInArrow(
-        _sets, "cid long, items binary"
-    )
-    sets = stage(sets, "sets")
     # a class with many partners is the query; its candidates are dealt over several groups
     degree = pairs.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").count()
     left = degree.select(F.col("cid").alias("a"), F.col("count").alias("da"))
@@ -443,12 +465,21 @@ def join(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame
     # within a list members come in an order that differs from list to list
     postings = postings.repartition("h").sortWithinPartitions("h", F.xxhash64("h", "cid"), "cid")
     found = stage(postings.mapInArrow(_candidates, _FOUND), "found")
-    links = _links(found.where("kind = 0").select("a", "b").distinct(), rows, reps)
-    members = found.where("kind = 1").select("a", "b", "n", "pos").distinct()
+    members = found.where("kind = 1").select(
+        "a", "b", F.col("na").alias("n"), F.col("nb").alias("pos")
+    )
+    pairs = stage(_enough(found, members), "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("cid"))
+    needed = ends.union(members.select("b")).distinct().join(reps, "cid").select("cid", "rid")
+    sets = rows.join(needed, "rid").select("cid", "text").mapInArrow(
+        _sets, "cid long, items binary"
+    )
+    sets = stage(sets, "sets")
+    links = _links(pairs, sets)
     if not members.isEmpty():
         pairs = stage(_across(members, components(links)), "across")
         if not pairs.isEmpty():
-            links = links.union(_links(pairs, rows, reps))
+            links = links.union(_links(pairs, sets))
 
     # from classes to rows: a component is named by its first class until its rows are known
     named = components(links).select(F.col("node").alias("cid"), "component")

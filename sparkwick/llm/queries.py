@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwick.llm import bpe, jaccard, langid, lines, packing, pii
-from sparkwick.llm.common import stage
+from sparkwick.llm import ann, bpe, jaccard, langid, lattice, lines, packing, pii, warc
+from sparkwick.llm.common import shared_folder, stage
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -47,6 +47,19 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors by inner product of every twentieth vector."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann.search(vectors, F.col("vec_id") % 20 == 0)
+
+
+def op6_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of vectors of one label whose cosine is at least 0.98."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    found = lattice.near_duplicates(vectors)
+    return found.select("vec_id", "n_links", "component_id", "kept")
+
+
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the later copies of three-line windows."""
     out = lines.drop_repeated_windows(_documents(spark, sf_dir).select("doc_id", "text"))
@@ -94,6 +107,30 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, profiles).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to WARC archives, normalised, and read back by offset."""
+    plain, members = shared_folder(spark, "warc"), shared_folder(spark, "members")
+    warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), plain)
+    stage(warc.normalise(spark, plain, members), "archives")
+    return warc.read_archives(spark, members).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+OP8_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS payload_digest,
+    strlen(coalesce(html, '')) AS payload_bytes FROM pages
+), g AS (
+  SELECT *, max(page_id) OVER (PARTITION BY html) AS last FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to
+FROM g
+"""
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
     pieces = stage(packing.cut_pieces(_documents(spark, sf_dir), TOKENIZER), "pieces")
@@ -104,9 +141,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard": op1_jaccard,
     "op2_bpe": op2_bpe,
     "op4_pii": op4_pii,
+    "op5_ann": op5_ann,
+    "op6_lattice": op6_lattice,
     "op7_lines": op7_lines,
+    "op8_warc": op8_warc,
     "op9_packing": op9_packing,
     "op10_langid": op10_langid,
 }
 
-ORACLES: dict[str, str] = {"op7_lines": OP7_SQL}
+ORACLES: dict[str, str] = {"op7_lines": OP7_SQL, "op8_warc": OP8_SQL}
