@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwick.llm import ann, bpe, jaccard, langid, lattice, lines, packing, pii, warc
+from sparkwick.llm import ann, bpe, jaccard, langid, lattice, lines, packing, pii, suffix, warc
 from sparkwick.llm.common import shared_folder, stage
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -34,6 +34,14 @@ def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(docs).select("doc_id", "n_shingles", "component_id", "is_kept")
 
 
+def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of strings of 400 bytes that occur more than once."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return suffix.drop_repeats(docs).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: counts of base spans and all spans."""
     docs = _documents(spark, sf_dir).select("doc_id", "text")
@@ -140,6 +148,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard": op1_jaccard,
     "op2_bpe": op2_bpe,
+    "op3_suffix": op3_suffix,
     "op4_pii": op4_pii,
     "op5_ann": op5_ann,
     "op6_lattice": op6_lattice,
