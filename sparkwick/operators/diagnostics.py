@@ -132,12 +132,19 @@ def pearson(df: DataFrame, by, features, target: str) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, keys, value: str) -> DataFrame:
-    """Add ``rank`` (ties share their mean rank) of ``value`` within ``keys``."""
+    """Add ``rank`` (ties share their mean rank) of ``value`` within ``keys``.
+
+    The join back is salted by the remaining columns, so one frequent value fills no task.
+    """
     counts = S.value_counts(df, keys, value)
     ranks = counts.select(
         *keys, C("value").alias(value), (C("upto") - (C("n") - 1) / 2.0).alias("rank")
     )
-    return df.join(ranks, [*keys, value])
+    rest = [c for c in df.columns if c not in (*keys, value)]
+    if not rest:
+        return df.join(ranks, [*keys, value])
+    salted = df.withColumn("_at", F.xxhash64(*rest))
+    return S.attach(salted.where(C(value).isNotNull()), ranks, [*keys, value], "_at").drop("_at")
 
 
 def spearman(df: DataFrame, by, features, target: str, row_id: str) -> DataFrame:

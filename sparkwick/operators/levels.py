@@ -153,8 +153,8 @@ def pools(
     )
 
 
+#: Children of a node of the bar tree; its depth follows from the longest series.
 RADIX = 1024
-LEVELS = 3
 
 
 def first_beyond(
@@ -165,7 +165,8 @@ def first_beyond(
     ``probes`` needs the series keys, ``pid``, ``side``, ``price`` and ``last_index``; adds
     ``hit_idx`` (NULL when no bar does).
 
-    A bar tree answers it with equi-joins only: a node holds the extremes of its 1024 children.
+    A bar tree answers it with equi-joins only: a node holds the extremes of its ``RADIX`` children
+    and there are as many levels as the longest series needs.
     Climbing joins each probe to the nodes above its start (one per level) and finds the lowest
     one with a piercing child to the right; descending follows that child down.
     """
@@ -183,8 +184,12 @@ def first_beyond(
     ).select(*keys, "node", "e.*")
     # only the sides and series that are probed
     ext = ext.join(probes.select(*keys, "side").distinct(), [*keys, "side"], "left_semi")
+    last = bars.agg(F.max("bar_idx")).first()[0] or 0
+    depth = 1
+    while RADIX**depth <= last:
+        depth += 1
     levels = []
-    for lv in range(LEVELS):
+    for lv in range(depth):
         kids = ext.withColumns(
             {"slot": F.pmod(C("node"), F.lit(RADIX)), "parent": F.floor(C("node") / RADIX)}
         )
@@ -201,7 +206,7 @@ def first_beyond(
         tree = tree.unionByName(t)
     target = F.when(C("side") == "buy_side", C("price")).otherwise(-C("price"))
     base = probes.select(*keys, "pid", "side", "last_index", target.alias("t"))
-    climb = base.withColumn("lv", F.explode(F.array(*[F.lit(i) for i in range(LEVELS)])))
+    climb = base.withColumn("lv", F.explode(F.array(*[F.lit(i) for i in range(depth)])))
     span = F.pow(F.lit(RADIX), C("lv") + 1).cast("long")
     own_slot = F.floor(F.pmod(C("last_index"), span) / (span / RADIX).cast("long"))
     climb = climb.withColumns(
@@ -219,7 +224,7 @@ def first_beyond(
         F.min_by(F.struct("lv", (C("node") * RADIX + C("slot")).alias("node")), "lv").alias("f"),
     )
     at = found.select(*keys, "side", "pid", "t", "f.lv", "f.node")
-    for lv in range(LEVELS - 1, 0, -1):
+    for lv in range(depth - 1, 0, -1):
         nodes = levels[lv - 1].drop("lv").withColumn("lv", F.lit(lv))
         down = at.join(nodes, [*keys, "side", "lv", "node"], "left")
         step = down["kids"].isNotNull()

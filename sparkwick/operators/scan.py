@@ -107,14 +107,14 @@ def scan(df: DataFrame, keys, order, scans: list[Scan], bucket: str | None = Non
 
 # --------------------------------------------------------------------------- small facts
 
-BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 8 << 20
 SALTS = 32
 
 
 def attach(df: DataFrame, facts: DataFrame, keys, salt: str, bounded: bool = False) -> DataFrame:
     """Join one fact row per key onto many rows per key.
 
-    The facts are computed once and counted: a table of proven small size is broadcast, a larger
+    The facts are computed once and measured: a table of proven small size is broadcast, a larger
     one is joined on the key and a salt from the ``salt`` column, so a key that holds a large part
     of the rows is spread over tasks. ``bounded`` groups cannot be hot and take a plain join.
     """
@@ -122,7 +122,8 @@ def attach(df: DataFrame, facts: DataFrame, keys, salt: str, bounded: bool = Fal
     if bounded:
         return df.join(facts, keys)
     facts = stage(facts)
-    if facts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    size = F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("size")
+    if (facts.agg(size).first().size or 0) <= BROADCAST_BYTES:
         return df.join(F.broadcast(facts), keys)
     spread = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     at = F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")
@@ -179,8 +180,9 @@ def fit_layout(bars: DataFrame, layout: Layout = DEFAULT_LAYOUT) -> Layout:
 def extend(df: DataFrame, layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
     """Copy each chunk's neighbour bars into it; ``core`` marks a bar's own chunk."""
     if layout.bounded:
+        pos = F.pmod(F.col("bar_idx"), F.lit(layout.chunk))
         return df.withColumns(
-            {"core": F.lit(True), "_off": F.col("bar_idx"), "_end": F.lit(False)}
+            {"core": F.lit(True), "_off": pos, "_end": pos == layout.chunk - 1}
         )
     b, back, fwd = layout.chunk, layout.back, layout.fwd
     own = F.floor(F.col("bar_idx") / b).cast("long")
@@ -257,9 +259,17 @@ def recur(
 
     An affine recurrence composes associatively: inside a chunk it is a running sum of
     ``drive * decay**-offset``; across chunks only the value at one bar per chunk is carried.
+    A bounded layout has one window per group, but the powers restart every ``chunk`` bars there
+    too, so a group may be of any length.
     """
     w = bar_window(layout)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    segment = [F.floor(F.col("bar_idx") / layout.chunk)] if layout.bounded else []
+    part_upto = (
+        Window.partitionBy(*layout.window_keys, *segment)
+        .orderBy("bar_idx")
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
     rows = layout.chunk + layout.back + layout.fwd
     off = F.col("_off").cast("double")
     local, linear = {}, []
@@ -274,7 +284,7 @@ def recur(
             local[a.name] = _fold(recent, a.decay)
         else:
             live = F.when(off >= 0, a.drive * F.pow(F.lit(a.decay), -off)).otherwise(0.0)
-            scaled = F.sum(live).over(upto)
+            scaled = F.sum(live).over(part_upto)
             local[a.name] = scaled * F.pow(F.lit(a.decay), off)
             linear.append(a)
     fill_src = {f"_f_{f.name}": F.when(off >= 0, f.value) for f in fills}
@@ -283,7 +293,20 @@ def recur(
         frame = w.rowsBetween(Window.unboundedPreceding, -f.lag) if f.lag else upto
         local[f.name] = F.last(F.col(f"_f_{f.name}"), True).over(frame)
     df = df.withColumns(local)
-    if layout.bounded or not (linear or fills):
+    if layout.bounded:
+        before = w.rowsBetween(Window.unboundedPreceding, -1)
+        whole = {}
+        for a in linear:
+            if a.decay == 1.0:
+                carry = F.sum(F.when(F.col("_end"), F.col(a.name))).over(before)
+            else:
+                # values at earlier segment ends, folded; the window skips the nulls in between
+                ends = F.collect_list(F.when(F.col("_end"), F.col(a.name))).over(before)
+                carry = _fold(ends, a.decay**layout.chunk)
+            grown = F.coalesce(carry, F.lit(0.0)) * F.pow(F.lit(a.decay), off + 1.0)
+            whole[a.name] = F.col(a.name) + grown
+        return (df.withColumns(whole) if whole else df).drop(*fill_src)
+    if not (linear or fills):
         return df.drop(*fill_src)
 
     part = [*layout.keys, "chunk"]
@@ -319,7 +342,11 @@ def recur(
 # --------------------------------------------------------------------------- order by value
 
 
-def value_buckets(df: DataFrame, keys, value: str, parts: int = 64) -> DataFrame:
+#: Ordered buckets of a value: this many at least, more when a key has many different values.
+PARTS, PART_VALUES, MOST_PARTS = 64, 1_000_000, 4_096
+
+
+def value_buckets(df: DataFrame, keys, value: str, parts: int = PARTS) -> DataFrame:
     """Add ``_vb``: an ordered bucket of ``value`` inside ``keys``, from approximate quantiles.
 
     Results built on it are exact; the quantiles only balance the buckets.
@@ -343,7 +370,11 @@ def value_counts(df: DataFrame, keys, value, sums: dict[str, Column] | None = No
     counts = base.groupBy(*keys, "value").agg(
         F.count("*").alias("n"), *[F.sum(n).alias(n) for n in sums]
     )
-    counts = value_buckets(counts, keys, "value")
+    # counted once; cuts, totals and ranks all start from the stored counts
+    counts = stage(counts)
+    most = counts.groupBy(*keys).count().agg(F.max("count")).first()[0] if keys else counts.count()
+    parts = min(MOST_PARTS, max(PARTS, math.ceil((most or 0) / PART_VALUES)))
+    counts = value_buckets(counts, keys, "value", parts)
     scans = [Scan(f"{n}_upto" if n != "n" else "upto", "sum", F.col(n)) for n in ["n", *sums]]
     return scan(counts, keys, ["value"], scans, bucket="_vb").drop("_vb")
 

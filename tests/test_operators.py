@@ -132,6 +132,57 @@ def test_first_hit_search_climbs_the_tree(spark, monkeypatch):
         assert r["hit_idx"] == (want[0] if want else None)
 
 
+def test_first_hit_search_is_as_deep_as_the_series(spark, monkeypatch):
+    """More bars than three levels of four children hold: a hit beyond them is found."""
+    monkeypatch.setattr(levels, "RADIX", 4)
+    bars = [(10.0, 11.0, 9.0, 10.0, 1.0)] * 300
+    bars[270] = (10.0, 20.0, 9.0, 10.0, 1.0)
+    b = stage(S.index_bars(frame(spark, {"A": bars}), CHUNKED))
+    p = spark.createDataFrame(
+        [("A", "H1", 0, "buy_side", 15.0, 3), ("A", "H1", 1, "sell_side", 5.0, 3)],
+        "symbol string, timeframe string, pid long, side string, price double, last_index long",
+    )
+    got = {r["pid"]: r["hit_idx"] for r in levels.first_beyond(b, p, CHUNKED).collect()}
+    assert got == {0: 270, 1: None}
+
+
+def test_bounded_groups_may_be_long(spark):
+    series = {"A": brute.walk(6000, 21)}
+    b = stage(S.index_bars(frame(spark, series), CHUNKED))
+    long_group = Layout(bounded=True)
+    df = S.recur(
+        S.extend(b, long_group), long_group,
+        [S.ema(f"e{n}", F.col("close"), n) for n in (9, 50, 200)] + [S.Affine("s", F.col("volume"), 1.0)],
+    )
+    got = rows(df.select("bar_idx", "e9", "e50", "e200", "s"), "bar_idx")
+    closes, total = [x[3] for x in series["A"]], 0.0
+    want = {n: brute.smoothed(closes, 2.0 / (n + 1)) for n in (9, 50, 200)}
+    for i, r in enumerate(got):
+        total += series["A"][i][4]
+        assert abs(r["s"] - total) < 1e-6
+        for n in (9, 50, 200):
+            assert abs(r[f"e{n}"] - want[n][i]) < 1e-8 * abs(want[n][i])
+
+
+def test_load_is_strict_unless_told(spark):
+    good = [("A", "H1", T0 + dt.timedelta(hours=i), 10.0, 11.0, 9.0, 10.5, 1.0) for i in range(4)]
+    schema = "symbol string, timeframe string, ts timestamp, open double, high double, low double, close double, volume double"
+    make = lambda extra: spark.createDataFrame(good + extra, schema).coalesce(1)
+    assert src.load_series(make([])).count() == 4
+    again = make([(*good[1][:6], 9.5, 2.0)])
+    assert src.load_series(again).where("close = 9.5").count() == 1  # the later copy stays
+    at = T0 + dt.timedelta(hours=9)
+    for bad in [
+        ("A", "H1", at, None, 11.0, 9.0, 10.0, 1.0),
+        ("A", "H1", at, 10.0, 8.0, 9.0, 10.0, 1.0),
+        ("A", "H1", at, -1.0, 11.0, -2.0, 10.0, 1.0),
+        ("B", "H1", at, 10.0, 11.0, 9.0, 10.0, 1.0),
+    ]:
+        with pytest.raises(src.CandleError):
+            src.load_series(make([bad]))
+        assert src.load_series(make([bad]), strict=False).count() == 4
+
+
 def test_features_of_a_window_equal_the_window_alone(spark, data):
     series = {"A": data["A"][:260]}
     b = stage(S.index_bars(frame(spark, series), CHUNKED))
@@ -241,5 +292,5 @@ def test_attach_is_the_same_join_beyond_the_broadcast_limit(spark, monkeypatch):
     facts = df.groupBy("k").agg(F.count("*").alias("n"))
     key = lambda t: sorted(map(tuple, t.select("k", "id", "n").collect()))
     small = key(S.attach(df, facts, ["k"], "id"))
-    monkeypatch.setattr(S, "BROADCAST_ROWS", 2)
+    monkeypatch.setattr(S, "BROADCAST_BYTES", 2)
     assert key(S.attach(df, facts, ["k"], "id")) == small == key(df.join(facts, "k"))
