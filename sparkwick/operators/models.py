@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -47,10 +48,11 @@ def _penalised(xx, xy, l1: float, l2: float, sweeps: int = 5000) -> np.ndarray:
                 continue
             r = xy[j] - xx[j] @ b + xx[j, j] * b[j]
             new = np.sign(r) * max(abs(r) - l1, 0.0) / d
-            move = max(move, abs(new - b[j]))
+            move = max(move, abs(new - b[j]) * np.sqrt(d))
             b[j] = new
-        if move < 1e-10:
-            break
+        if move < 1e-10 * max(1.0, float(np.abs(b * np.sqrt(np.diag(xx))).max(initial=0.0))):
+            return b
+    warnings.warn(f"coordinate descent has not converged after {sweeps} sweeps", stacklevel=2)
     return b
 
 
@@ -173,10 +175,13 @@ def train_linear(
 
 
 def poisson_weight(row: Column, round_no: int) -> Column:
-    """Poisson(1) draw from a hash of the row id."""
+    """Poisson(1) draw from a hash of the row id.
+
+    The hash tells 1,000,003 values apart; a draw of ten or more is rarer than one of them.
+    """
     u = F.pmod(F.xxhash64(row.cast("long"), F.lit(round_no)), F.lit(1_000_003)) / 1_000_003.0
     out, p, cdf = F.lit(0.0), float(np.exp(-1.0)), 0.0
-    for k in range(8):
+    for k in range(10):
         cdf += p
         out = F.when(u >= cdf, float(k + 1)).otherwise(out)
         p /= k + 1
@@ -550,10 +555,12 @@ def train_logistic(
         raise ValueError("the training rows miss a class")
     lr = LogisticRegression(
         featuresCol="_x", labelCol=label, weightCol="weight", family="multinomial",
-        regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False, maxIter=500,
+        regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False, maxIter=2000,
         tol=1e-9,
     )
     m = lr.fit(v)
+    if m.summary.totalIterations >= 2000:
+        raise ArithmeticError("logistic regression has not converged after 2000 iterations")
     fit = LogisticFit(list(features), m.coefficientMatrix.toArray(), m.interceptVector.toArray(), tuple(classes))
     if calibration == "none" or cut < 10:
         return fit

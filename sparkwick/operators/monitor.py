@@ -87,7 +87,8 @@ def regime_drift(baseline: DataFrame, live: DataFrame, by, threshold: float = 0.
 
 
 def ks_test(baseline: DataFrame, live: DataFrame, keys, value: str = "value") -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov statistic and asymptotic p-value."""
+    """Two-sample Kolmogorov-Smirnov statistic and asymptotic p-value (null for a key that only
+    one side has)."""
     keys = list(keys)
     one, zero = F.lit(1), F.lit(0)
     b = baseline.select(*keys, C(value), one.alias("b"), zero.alias("l"))
@@ -95,7 +96,7 @@ def ks_test(baseline: DataFrame, live: DataFrame, keys, value: str = "value") ->
     t = S.value_counts(both, keys, value, {"b": C("b"), "l": C("l")})
     n = t.groupBy(*keys).agg(F.sum("b").alias("nb"), F.sum("l").alias("nl"))
     t = S.attach(t, n, keys, "value")
-    gap = F.abs(C("b_upto") / C("nb") - C("l_upto") / C("nl"))
+    gap = F.abs(F.try_divide("b_upto", "nb") - F.try_divide("l_upto", "nl"))
     t = t.groupBy(*keys).agg(
         F.max(gap).alias("ks_statistic"), F.max("nb").alias("nb"), F.max("nl").alias("nl")
     )
@@ -103,7 +104,7 @@ def ks_test(baseline: DataFrame, live: DataFrame, keys, value: str = "value") ->
     tail = F.lit(0.0)
     for j in range(1, 51):
         tail = tail + F.exp(-2.0 * j * j * lam * lam) * (2.0 if j % 2 else -2.0)
-    p = F.when(lam < 0.2, 1.0).otherwise(clip(tail, 0.0, 1.0))
+    p = F.when(lam < 0.2, 1.0).when(lam.isNotNull(), clip(tail, 0.0, 1.0))
     return t.select(*keys, "ks_statistic", p.alias("ks_pvalue"))
 
 
@@ -150,8 +151,9 @@ def _third(x: Column) -> Column:
 def distribution_shift(baseline: DataFrame, live: DataFrame, keys, value: str = "value"):
     """Mean and spread shift, KS statistic and severity of a target or residual series."""
     keys = list(keys)
-    t = _moments(baseline, keys, value, "baseline").join(_moments(live, keys, value, "live"), keys)
-    t = t.join(ks_test(baseline, live, keys, value), keys)
+    live_side = _moments(live, keys, value, "live")
+    t = _moments(baseline, keys, value, "baseline").join(live_side, keys, "full")
+    t = t.join(ks_test(baseline, live, keys, value), keys, "left")
     unit = F.when(C("baseline_std") > EPS, C("baseline_std")).otherwise(1.0)
     ks = F.when(C("live_varies"), C("ks_statistic")).otherwise(0.0)
     t = t.withColumns(
@@ -173,13 +175,19 @@ def distribution_shift(baseline: DataFrame, live: DataFrame, keys, value: str =
 def feature_drift(
     baseline: DataFrame, live: DataFrame, by, outlier_z: float = 3.0, valid: str | None = None
 ) -> DataFrame:
-    """Drift per feature; both inputs are long (by, feature, value[, valid])."""
+    """Drift per feature; both inputs are long (by, feature, value[, valid]).
+
+    ``presence`` tells features that both sides have from those missing in the live rows (all
+    missing, full drift) and those unexpected there (listed without figures: there is nothing to
+    compare them with).
+    """
     keys = [*by, "feature"]
     z = F.abs((C("value") - C("train_mean")) / C("_unit")) > outlier_z
     base = _moments(baseline, keys, "value", "train")
     base = base.withColumn("_unit", F.when(C("train_std") < EPS, 1.0).otherwise(C("train_std")))
     missing = F.avg(F.when(C(valid), 0.0).otherwise(1.0)) if valid else F.lit(0.0)
     facts = base.select(*keys, "train_mean", "_unit")
+    names = live.select(*keys).distinct().withColumn("_live", F.lit(True))
     seen = S.attach(live, facts, keys, "value").groupBy(*keys).agg(
         F.avg("value").alias("live_mean"),
         F.stddev_pop("value").alias("live_std"),
@@ -187,9 +195,10 @@ def feature_drift(
         F.avg(F.when(z, 1.0).otherwise(0.0)).alias("outlier_frequency"),
         missing.alias("missing_frequency"),
     )
-    t = base.join(seen, keys, "left").join(psi(baseline, live, keys), keys, "left")
+    t = base.withColumn("_base", F.lit(True)).join(names, keys, "full").join(seen, keys, "left")
+    t = t.join(psi(baseline, live, keys), keys, "left")
     t = t.join(ks_test(baseline, live, keys), keys, "left")
-    gone = C("live_mean").isNull()
+    gone = C("_live").isNull()
     t = t.withColumns(
         {
             "mean_shift": F.abs(C("live_mean") - C("train_mean")) / C("_unit"),
@@ -217,7 +226,8 @@ def feature_drift(
         "ks_pvalue",
         zero("outlier_frequency"),
         F.when(gone, 1.0).otherwise(C("missing_frequency")).alias("missing_frequency"),
-        F.when(gone, 1.0).otherwise(score).alias("drift_score"),
+        F.when(gone, 1.0).when(C("_base"), score).alias("drift_score"),
+        F.when(gone, "missing").when(C("_base"), "both").otherwise("unexpected").alias("presence"),
     )
 
 
@@ -245,8 +255,9 @@ def correlation_drift(baseline: DataFrame, live: DataFrame, by, features) -> Dat
 
 
 def drift_summary(per_feature: DataFrame, corr: DataFrame, by, top: int = 10) -> DataFrame:
-    """Overall feature drift severity and the most drifted features."""
+    """Overall feature drift severity and the most drifted features (unexpected ones aside)."""
     by = list(by)
+    per_feature = per_feature.where(C("drift_score").isNotNull())
     m = per_feature.groupBy(*by).agg(F.avg("drift_score").alias("_m"))
     w = Window.partitionBy(*by).orderBy(C("drift_score").desc(), "feature")
     best = per_feature.withColumn("_r", F.row_number().over(w)).where(C("_r") <= top)
@@ -267,9 +278,9 @@ def drift_summary(per_feature: DataFrame, corr: DataFrame, by, top: int = 10) ->
 
 
 def combined_severity(*parts: Column) -> Column:
-    """Mean of the parts that are present."""
+    """Mean of the parts that are present; null if none is."""
     num = sum(F.coalesce(p, F.lit(0.0)) for p in parts)
-    return num / sum(F.when(p.isNotNull(), 1.0).otherwise(0.0) for p in parts)
+    return F.try_divide(num, sum(F.when(p.isNotNull(), 1.0).otherwise(0.0) for p in parts))
 
 
 # --------------------------------------------------------------------------- predictions

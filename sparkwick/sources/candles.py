@@ -321,11 +321,29 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "err
         raise CandleError(f"unsupported format {fmt!r}: use csv or parquet")
 
 
-def load_series(df: DataFrame, seq: str | None = None, fill: bool = False) -> DataFrame:
-    """The usual way in: conform, keep the last copy of each bar, optionally fill gaps."""
-    good, _ = split_bad(df)
-    if seq:
-        good = dedup_last(good, seq)
+def load_series(
+    df: DataFrame, seq: str | None = None, fill: bool = False, strict: bool = True
+) -> DataFrame:
+    """The usual way in: conform, keep the last copy of each bar, check, optionally fill gaps.
+
+    ``strict`` raises CandleError on unreadable or impossible rows and on series of fewer than
+    three candles; otherwise such rows and series are left out (``split_bad`` and
+    ``geometry_report`` show which). Without ``seq`` the stored row order decides which copy of a
+    bar is the last.
+    """
+    if not seq:
+        seq, df = "_row", df.withColumn("_row", F.monotonically_increasing_id())
+    good, _ = split_bad(df, strict)
+    good = dedup_last(good, seq)
+    if strict:
+        good = assert_geometry(good)
+        short = good.groupBy(*SERIES_KEYS).count().where("count < 3").limit(1).collect()
+        if short:
+            raise CandleError(f"fewer than three candles: {short[0]}")
+    else:
+        for rule in GEOMETRY_RULES.values():
+            good = good.where(~rule())
+        good = long_enough(good)
     if fill:
         good = fill_gaps(good).drop("is_filled")
     return good

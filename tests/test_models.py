@@ -79,6 +79,33 @@ def test_same_distribution_has_no_drift(rows):
     assert moved["drift_score"] > 0.5 and moved["ks_pvalue"] < 1e-6
 
 
+def test_drift_with_features_of_one_side(rows):
+    one = lambda n: rows.select(F.lit("m").alias("m"), F.lit(n).alias("feature"), C("x").alias("value"))
+    t = Q.feature_drift(one("a").union(one("gone")), one("a").union(one("new")), ["m"])
+    got = {r["feature"]: r for r in t.collect()}
+    assert {f: r["presence"] for f, r in got.items()} == {"a": "both", "gone": "missing", "new": "unexpected"}
+    assert got["gone"]["drift_score"] == 1.0 and got["gone"]["missing_frequency"] == 1.0
+    assert got["new"]["drift_score"] is None and got["a"]["drift_score"] < 0.05
+    ks = {r["feature"]: r for r in Q.ks_test(one("a"), one("a").union(one("new")), ["feature"]).collect()}
+    assert ks["new"]["ks_statistic"] is None and ks["a"]["ks_pvalue"] == 1.0
+    shift = Q.distribution_shift(one("a"), one("new"), ["feature"]).collect()
+    assert {r["feature"] for r in shift} == {"a", "new"}
+
+
+def test_combined_severity_of_nothing_is_null(spark):
+    t = spark.createDataFrame([(None, None), (0.5, None)], "a double, b double")
+    assert [r[0] for r in t.select(Q.combined_severity(C("a"), C("b"))).collect()] == [None, 0.5]
+
+
+def test_ranks_share_ties_with_a_hot_value(spark):
+    from sparkwick.operators.diagnostics import average_ranks
+
+    t = spark.createDataFrame([("k", i, 0.0 if i % 4 else float(i)) for i in range(400)], "k string, id int, v double")
+    got = {r["id"]: r["rank"] for r in average_ranks(t, ["k"], "v").collect()}
+    assert len(got) == 400 and got[1] == got[399] == got[0] == (1 + 301) / 2.0
+    assert got[4] == 302.0 and got[396] == 400.0
+
+
 def test_health_defaults_for_unknown_parts(spark):
     t = spark.createDataFrame(
         [("regression", 0.5, 1.0, 1.0, 80.0, 0.1, 1.0, 0.2, None, None, None, None)],
