@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,9 @@ from sparkwick.functions.columns import (
     true_range,
 )
 from sparkwick.operators import scan as S
+from sparkwick.operators.features import fingerprint, schema_issues
 from sparkwick.operators.gram import correlation_matrix, solve_normal
+from sparkwick.sources.staging import stage
 
 C = F.col
 # Class order defines the integer codes.
@@ -554,6 +558,67 @@ def select_recursively(
     return names
 
 
+# --------------------------------------------------------------------------- fitted preprocessing
+
+
+@dataclass
+class Preprocessor:
+    """Impute, encode, scale and select as fitted on training rows; applied unchanged to others.
+
+    ``expected`` are the input features in order and ``names`` the output ones; ``schema`` is the
+    fingerprint that rows to be transformed must match.
+    """
+
+    expected: list[str]
+    medians: dict[str, float]
+    cyclic: bool
+    categories: bool
+    scaler: dict[str, tuple]
+    names: list[str]
+
+    @property
+    def schema(self) -> str:
+        return fingerprint(self.expected)
+
+    def apply(self, df: DataFrame, features=None) -> DataFrame:
+        """``df`` with the fitted steps applied; other columns pass through.
+
+        ``features`` names the features of ``df`` in its order (those expected that it has, if not
+        given); a missing, extra or reordered one raises.
+        """
+        if features is None:
+            features = [c for c in df.columns if c in set(self.expected)]
+        issues = schema_issues(self.expected, list(features))
+        if issues:
+            raise ValueError(f"features do not match the fitted schema: {issues}")
+        out, encoded = encode(impute(df, self.medians), self.expected, self.cyclic, self.categories)
+        out = scale(out, {f: self.scaler[f] for f in self.names})
+        dropped = (set(self.expected) | set(encoded)) - set(self.names)
+        return out.drop(*dropped)
+
+
+def fit_preprocessor(
+    train: DataFrame,
+    features,
+    scaler: str = "standard",
+    cyclic: bool = False,
+    categories: bool = False,
+    max_correlation: float | None = None,
+) -> Preprocessor:
+    """Fit all steps on ``train`` alone. Constants, and with ``max_correlation`` all but the first
+    of each correlated group, are left out."""
+    features = list(features)
+    medians = impute_values(train, features)
+    rows, names = encode(impute(train, medians), features, cyclic, categories)
+    rows = stage(rows.select(*names))
+    fitted = fit_scaler(rows, names, scaler)
+    if max_correlation is None:
+        kept = select_by_variance(rows, names)
+    else:
+        kept = select_by_correlation(rows, names, max_correlation)
+    return Preprocessor(features, medians, cyclic, categories, fitted, kept)
+
+
 def sample_index(df: DataFrame, keys=SERIES_KEYS, order: str = "bar_idx") -> DataFrame:
     """0-based contiguous ``sample_idx`` by ``order``, without a whole-series window."""
     t = df.withColumn("_ib", F.floor(C(order) / 65536))

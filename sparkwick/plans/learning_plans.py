@@ -219,6 +219,68 @@ def scaled(spark, sf):
     return D.scale(t, D.fit_scaler(t, FEATURES)).select("symbol", idx(), *qcols(FEATURES))
 
 
+_SPREAD = lambda f, kind: {
+    "minmax": f"({f} - (SELECT min({f}) FROM x)) / (SELECT max({f}) - min({f}) FROM x)",
+    "robust": f"({f} - (SELECT quantile_cont({f}, 0.5) FROM x)) / (SELECT quantile_cont({f}, 0.75) - quantile_cont({f}, 0.25) FROM x)",
+    "inverse": f,
+}[kind]
+
+
+@query(
+    "d18_scalers",
+    with_sql(*XS)
+    + " UNION ALL ".join(
+        f"SELECT '{kind}' AS kind, symbol, idx, "
+        + ", ".join(qs(_SPREAD(f, kind)) + f" AS {f}" for f in FEATURES)
+        + " FROM x"
+        for kind in ("minmax", "robust", "inverse")
+    ),
+)
+def scalers(spark, sf):
+    t = stage(returns(spark, sf))
+    robust = D.fit_scaler(t, FEATURES, "robust")
+    done = {
+        "minmax": D.scale(t, D.fit_scaler(t, FEATURES, "minmax")),
+        "robust": D.scale(t, robust),
+        "inverse": D.scale(D.scale(t, robust), robust, inverse=True),
+    }
+    parts = [
+        d.select(F.lit(kind).alias("kind"), "symbol", idx(), *qcols(FEATURES))
+        for kind, d in done.items()
+    ]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query(
+    "d24_preprocess",
+    with_sql(
+        *XS,
+        """h AS (SELECT *, idx * 2 < max(idx) OVER (PARTITION BY symbol) AS early,
+  CASE WHEN idx % 5 = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS ok FROM x)""",
+        "md AS (SELECT quantile_cont(f_spread, 0.5) FILTER (early AND ok > 0.5) AS m FROM h)",
+        """im AS MATERIALIZED (SELECT symbol, idx, early, f_range, ok AS f_spread_valid,
+  CASE WHEN ok < 0.5 THEN m ELSE f_spread END AS f_spread FROM h, md)""",
+    )
+    + "SELECT symbol, idx, "
+    + ", ".join(
+        qs(f"({f} - (SELECT avg({f}) FROM im WHERE early)) / (SELECT stddev_pop({f}) FROM im WHERE early)")
+        + f" AS {f}"
+        for f in ("f_range", "f_spread", "f_spread_valid")
+    )
+    + " FROM im WHERE NOT early",
+)
+def preprocess(spark, sf):
+    """Fitted on the first half of every series, applied to the second."""
+    t = returns(spark, sf)
+    last = t.groupBy("symbol").agg(F.max("bar_idx").alias("_m"))
+    valid = F.when(C("bar_idx") % 5 == 0, 0.0).otherwise(1.0)
+    t = stage(t.join(last, "symbol").withColumn("f_spread_valid", valid))
+    early, names = C("bar_idx") * 2 < C("_m"), ["f_range", "f_spread", "f_spread_valid"]
+    fitted = D.fit_preprocessor(t.where(early), names)
+    out = fitted.apply(t.where(~early).select("symbol", "bar_idx", *names))
+    return out.select("symbol", idx(), *qcols(names))
+
+
 @query(
     "d20_corr_select",
     with_sql(*XS)

@@ -121,6 +121,20 @@ def feature_drift(spark, sf):
     return t.select("symbol", "feature", *qcols(["mean_shift", "variance_shift", "outlier_frequency", "drift_score"]))
 
 
+@query(
+    "q06_one_sided",
+    with_sql(*XS, LONG_SQL, PSI_SQL, FD)
+    + f"""SELECT symbol, feature, CASE feature WHEN '{FEATURES[0]}' THEN 'missing' WHEN '{FEATURES[1]}' THEN 'unexpected' ELSE 'both' END AS presence,
+  CASE feature WHEN '{FEATURES[0]}' THEN 1.0 WHEN '{FEATURES[1]}' THEN NULL ELSE {qs('score')} END AS drift_score FROM fd""",
+)
+def one_sided_drift(spark, sf):
+    """Drift where one feature is missing in the live rows and one is new there."""
+    a, b = long_halves(spark, sf)
+    a, b = a.where(C("feature") != FEATURES[1]), b.where(C("feature") != FEATURES[0])
+    t = Q.feature_drift(a, b, MODEL)
+    return t.select("symbol", "feature", "presence", q("drift_score").alias("drift_score"))
+
+
 _PAIRS = [(a, b) for i, a in enumerate(FEATURES) for b in FEATURES[i + 1 :]]
 CD = "cd AS (SELECT symbol, (" + " + ".join(
     f"abs(corr({a}, {b}) FILTER (early) - corr({a}, {b}) FILTER (NOT early))" for a, b in _PAIRS
