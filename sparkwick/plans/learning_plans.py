@@ -717,3 +717,114 @@ def class_health(spark, sf):
     t = table(spark, sf, "lineitem")
     h = L.class_model_health(C("l_discount") * 8, C("l_tax") * 4)
     return t.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", q(h).alias("health"))
+
+
+@query(
+    "m15_apply_thresholds",
+    with_sql(*PS)
+    + """SELECT symbol, idx, CASE
+    WHEN NOT (ps >= 0.34 OR pn >= 0.335 OR pb >= 0.33) THEN cls_p
+    WHEN pb >= 0.33 AND (pn < 0.335 OR pb > pn) AND (ps < 0.34 OR pb > ps) THEN 'BUY'
+    WHEN ps >= 0.34 AND (pn < 0.335 OR ps >= pn) THEN 'SELL'
+    ELSE 'NO_TRADE' END AS chosen FROM (
+  SELECT symbol, idx, cls_p, round(ps, 9) AS ps, round(pn, 9) AS pn, round(pb, 9) AS pb FROM pr)""",
+)
+def chosen_classes(spark, sf):
+    limits = {"SELL": 0.34, "NO_TRADE": 0.335, "BUY": 0.33}
+    chosen = L.apply_thresholds(C("probs"), limits)
+    return rounded(spark, sf).select("symbol", idx(), chosen.alias("chosen"))
+
+
+@query(
+    "m18_distributions",
+    with_sql(*PS)
+    + f"""SELECT symbol, cls_p, count(*) AS n, {qs('count(*) / sum(count(*)) OVER (PARTITION BY symbol)')} AS fraction
+FROM pr GROUP BY 1, 2""",
+)
+def class_distribution(spark, sf):
+    t = L.prediction_distribution(predictions(spark, sf), ["symbol"], "cls_p")
+    return t.select("symbol", "cls_p", "n", q("fraction").alias("fraction"))
+
+
+@query(
+    "m18_histogram",
+    with_sql(*PS, OVR)
+    + "SELECT symbol, cls AS class, least(floor(s * 10), 9)::BIGINT AS bin, count(*) AS n FROM ov GROUP BY 1, 2, 3",
+)
+def class_histogram(spark, sf):
+    return L.probability_histogram(rounded(spark, sf), ["symbol"])
+
+
+@query(
+    "d15_class_balance",
+    with_sql(*PS)
+    + f"""SELECT symbol, cls_y AS class, count(*) AS n, {qs('count(*) / sum(count(*)) OVER (PARTITION BY symbol)')} AS fraction
+FROM pr GROUP BY 1, 2""",
+)
+def label_balance(spark, sf):
+    t = D.class_balance(predictions(spark, sf), "cls_y")
+    return t.select("symbol", "class", "n", q("fraction").alias("fraction"))
+
+
+@query(
+    "d15_checks",
+    with_sql(*PS)
+    + """SELECT symbol, count(*) AS n_samples, count(*) - count(DISTINCT idx // 2) AS duplicate_decision_times,
+  count(*) FILTER (idx % 7 = 0) AS leakage_violations FROM pr GROUP BY 1""",
+)
+def sample_checks(spark, sf):
+    """Decision times repeated in pairs, and a label inside the window at every seventh bar."""
+    t = predictions(spark, sf).withColumns(
+        {
+            "ts": F.timestamp_seconds(F.expr("bar_idx div 2")),
+            "decision_idx": C("bar_idx"),
+            "window_end_idx": C("bar_idx"),
+            "label_idx": F.when(C("bar_idx") % 7 == 0, C("bar_idx")).otherwise(C("bar_idx") + HORIZON),
+        }
+    )
+    return D.dataset_checks(t, ["symbol"])
+
+
+@query(
+    "d17_non_finite",
+    "SELECT count(*) FILTER (user_id % 11 = 0) + count(*) FILTER (user_id % 13 = 0) + count(*) FILTER (user_id % 17 = 0) AS bad FROM events",
+)
+def non_finite(spark, sf):
+    """Nulls, NaNs and infinities over two features."""
+    from sparkwick.plans.base import table
+
+    t = table(spark, sf, "events").select(
+        F.when(C("user_id") % 11 != 0, C("value")).alias("a"),
+        F.when(C("user_id") % 13 == 0, F.lit(float("nan")))
+        .when(C("user_id") % 17 == 0, F.lit(float("inf")))
+        .otherwise(C("value"))
+        .alias("b"),
+        (C("user_id") % (13 * 17) == 0).alias("both"),
+    )
+    bad = D.non_finite_count(t, ["a", "b"]) + t.where("both").count()
+    return spark.createDataFrame([(bad,)], "bad long")
+
+
+@query(
+    "d19_variance_select",
+    with_sql(*XS)
+    + "SELECT string_agg(f, ',' ORDER BY i) AS kept FROM ("
+    + " UNION ALL ".join(f"SELECT '{f}' AS f, {i} AS i, var_pop({f}) AS v FROM x" for i, f in enumerate(FEATURES))
+    + ") WHERE v > 1.0",
+)
+def variance_select(spark, sf):
+    kept = D.select_by_variance(returns(spark, sf), FEATURES, 1.0)
+    return spark.createDataFrame([(",".join(kept),)], "kept string")
+
+
+@query(
+    "g07_vif_pair",
+    with_sql(*XS)
+    + f"""SELECT feature, {qs('1 / (1 - r * r)', 4)} AS vif FROM (SELECT corr(f_range, f_volume) AS r FROM x),
+  (SELECT unnest(['f_range', 'f_volume']) AS feature)""",
+)
+def vif_pair(spark, sf):
+    """Two features: the factor is 1 / (1 - r^2)."""
+    rows = G.inflation_factors(returns(spark, sf), ["f_range", "f_volume"])
+    t = spark.createDataFrame(rows, "feature string, vif double")
+    return t.select("feature", q("vif", 4).alias("vif"))

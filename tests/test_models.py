@@ -116,3 +116,23 @@ def test_health_defaults_for_unknown_parts(spark):
     r = Q.health(t).first()
     assert r["h_target_drift"] == r["h_residual_drift"] == r["h_market_regime_change"] == r["h_training_age"] == 70.0
     assert r["health_status"] == "good"
+
+
+def test_fitted_preprocessing_is_never_refitted(spark):
+    from sparkwick.operators import dataset as D
+
+    names = ["a", "a_valid", "flat"]
+    make = lambda rows: spark.createDataFrame(rows, "id int, a double, a_valid double, flat double")
+    train = make([(i, float(i), float(i % 4 > 0), 7.0) for i in range(40)])
+    fitted = D.fit_preprocessor(train, names)
+    assert fitted.names == ["a", "a_valid"] and len(fitted.schema) == 64
+    new = fitted.apply(make([(1, 1000.0, 1.0, 9.0), (2, -5.0, 0.0, 9.0)])).orderBy("id").collect()
+    c, d = fitted.scaler["a"]
+    assert new[0]["a"] == pytest.approx((1000.0 - c) / d)
+    assert new[1]["a"] == pytest.approx((fitted.medians["a"] - c) / d)
+    assert set(new[0].asDict()) == {"id", "a", "a_valid"}
+    for wrong in (["a_valid", "a", "flat"], ["a", "a_valid"], [*names, "b"]):
+        with pytest.raises(ValueError):
+            fitted.apply(train, wrong)
+    with pytest.raises(ValueError):
+        fitted.apply(train.drop("flat"))
