@@ -12,8 +12,9 @@ least ``required(|a|, |b|)`` shingles. The search runs in four steps.
 3. T-occurrence search: the candidates of a class are indexed by shingle; its short inverted lists
    are merged and counted, candidates short of the required overlap by more than the number of
    long lists are dropped, the rest are probed in the long lists by binary search (DivideSkip).
-4. Long lists whose members are still in several components give their pairs across components,
-   block by block, and these are searched as in step 3. Components of all links are the result.
+4. Long lists whose members are still in several components meet a few members of others; what is
+   then still apart gives its pairs across components, block by block, and these are searched as
+   in step 3. Components of all links are the result.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkwick.llm.common import components, stage, with_row_id
+from sparkwick.llm.hashing import RangeHash, mix
 
 #: Words of a shingle.
 WORDS = 5
@@ -35,15 +37,18 @@ NUMERATOR, DENOMINATOR = 3, 4
 #: Members of the longest list that is expanded at once, and of a block of a longer one.
 LONG = 64
 BLOCK = 512
-#: Frequent shingles that are put last in the order; this affects speed only, never the result.
-FREQUENT = 100_000
+#: Shingles counted more often than this are put last in the order, the most frequent of them if
+#: there are more than so many; this affects speed only, never the result.
+OFTEN, FREQUENT = 8, 1_000_000
+#: Orders in which members of a long list are ranked: their first members are compared with all.
+ORDERS = 4
+#: Rounds in which members of long lists meet some of other components, and how many.
+ROUNDS, DRAWN = 3, 8
 #: Candidates of a class that are searched together.
 TOGETHER = 256
 #: Characters of text, and shingles, that are worked on at once.
-CHUNK, COUNTED = 1_000_000, 2_000_000
+CHUNK, COUNTED = 1_000_000, 6_000_000
 
-_MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15
 _STEPS = [np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64)) for k in range(WORDS)]
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -56,29 +61,6 @@ def required(a, b):
     return -(-NUMERATOR * (a + b) // (NUMERATOR + DENOMINATOR))
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """Spread the bits of 64-bit numbers."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class _Powers:
-    """Powers of the base of the word hash and of its inverse modulo 2**64."""
-
-    up = down = np.ones(1, dtype=np.uint64)
-
-    @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            inverse = pow(_BASE, -1, 1 << 64)
-            for name, base in (("up", _BASE), ("down", inverse)):
-                x = np.full(n, base, dtype=np.uint64)
-                x[0] = 1
-                setattr(cls, name, np.cumprod(x))
-        return cls.up[:n], cls.down[:n]
-
-
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     """Sorted different shingle hashes (as signed integers) of each text.
 
@@ -87,28 +69,26 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     """
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b" ".join([b"", *raw, b""]), dtype=np.uint8)
-    up, down = _Powers.of(len(data) + 1)
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((_LOWER[data] + np.uint64(1)) * up[:-1], out=total[1:])
+    hashed = RangeHash(_LOWER[data] + np.uint64(1))
     white = _WHITE[data]
     starts = np.flatnonzero(white[:-1] & ~white[1:]) + 1
     ends = np.flatnonzero(~white[:-1] & white[1:]) + 1
-    words = _mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    words = hashed(starts, ends)
     borders = np.searchsorted(starts, np.cumsum([1, *(len(r) + 1 for r in raw)]))
     n = len(words)
     sums = np.zeros(max(0, n - WORDS + 1), dtype=np.uint64)
     for k in range(WORDS):
-        sums += _mix(words[k : k + len(sums)] * _STEPS[k])
-    sums = _mix(sums).view(np.int64)
+        sums += mix(words[k : k + len(sums)] * _STEPS[k])
+    sums = mix(sums).view(np.int64)
     out = []
     for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
         if b - a >= WORDS:
             own = np.sort(sums[a : b - WORDS + 1])
             out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
         elif b > a:
-            few = sum((_mix(words[a + k : a + k + 1] * _STEPS[k]) for k in range(b - a)),
+            few = sum((mix(words[a + k : a + k + 1] * _STEPS[k]) for k in range(b - a)),
                       np.array([b - a], dtype=np.uint64))
-            out.append(_mix(few).view(np.int64))
+            out.append(mix(few).view(np.int64))
         else:
             out.append(np.zeros(0, dtype=np.int64))
     return out
@@ -393,14 +373,39 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return stage(found.mapInArrow(_search, "a long, b long"), "links")
 
 
-def _across(members: DataFrame, label: DataFrame) -> DataFrame:
-    """Pairs of members of long lists that are in different components, block by block."""
+def _mixed(members: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of long lists with their component ``c``, and the lists that still hold several."""
     label = label.select(F.col("node").alias("b"), F.col("component").alias("c"))
     members = members.join(label, "b", "left").withColumn("c", F.coalesce("c", "b"))
     lists = members.groupBy("a").agg(
         F.count("*").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi")
     )
-    lists = lists.where("lo <> hi").select("a", F.ceil(F.col("size") / BLOCK).alias("blocks"))
+    return members, lists.where("lo <> hi").select("a", "size")
+
+
+def _with_some(members: DataFrame, label: DataFrame, step: int) -> DataFrame:
+    """Pairs of a long list's members with a few of other components, drawn by hash.
+
+    The draw is the same in all lists, so that a group that shares many lists gives few pairs.
+    """
+    members, lists = _mixed(members, label)
+    members = members.join(lists.select("a"), "a")
+    own = F.struct("b", "n", "pos", "c")
+    drawn = [F.max_by(own, F.xxhash64("b", F.lit(step * DRAWN + j))) for j in range(DRAWN)]
+    some = members.groupBy("a").agg(F.array_distinct(F.array(*drawn)).alias("some"))
+    met = members.join(some.select("a", F.explode("some").alias("o")), "a").where("c <> o.c")
+    need = F.ceil((F.col("n") + F.col("o.n")) * NUMERATOR / (NUMERATOR + DENOMINATOR))
+    reach = F.least(F.col("n") - F.col("pos"), F.col("o.n") - F.col("o.pos"))
+    met = met.where(reach >= need)
+    return met.select(
+        F.least("b", "o.b").alias("a"), F.greatest("b", "o.b").alias("b")
+    ).distinct()
+
+
+def _across(members: DataFrame, label: DataFrame) -> DataFrame:
+    """Pairs of members of long lists that are in different components, block by block."""
+    members, lists = _mixed(members, label)
+    lists = lists.select("a", F.ceil(F.col("size") / BLOCK).alias("blocks"))
     members = members.join(lists, "a").withColumn(
         "s", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")
     )
@@ -458,12 +463,15 @@ def join(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame
     reps = classes.select("cid", "rid")
 
     often = rows.mapInArrow(_repeated, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    often = often.where(F.col("n") > LONG).orderBy(F.desc("n"), "h").limit(FREQUENT)
-    frequent = np.sort(np.array([r.h for r in often.select("h").collect()], dtype=np.int64))
+    often = often.where(F.col("n") > OFTEN).orderBy(F.desc("n"), "h").limit(FREQUENT)
+    frequent = np.sort(often.select("h").toArrow().column("h").to_numpy())
 
     postings = rows.mapInArrow(_postings(frequent), _POSTINGS)
-    # within a list members come in an order that differs from list to list
-    postings = postings.repartition("h").sortWithinPartitions("h", F.xxhash64("h", "cid"), "cid")
+    # members come in one of a few orders: a bad first member of one list is made up for by others
+    # (in one order the smallest sets come first: they hold little besides what all share)
+    order = F.pmod("h", F.lit(ORDERS))
+    rank = F.when(order == 0, F.col("place")).otherwise(F.xxhash64(order, "cid"))
+    postings = postings.repartition("h").sortWithinPartitions("h", rank, "cid")
     found = stage(postings.mapInArrow(_candidates, _FOUND), "found")
     members = found.where("kind = 1").select(
         "a", "b", F.col("na").alias("n"), F.col("nb").alias("pos")
@@ -476,13 +484,21 @@ def join(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame
     )
     sets = stage(sets, "sets")
     links = _links(pairs, sets)
+    label = stage(components(links), "label")
     if not members.isEmpty():
-        pairs = stage(_across(members, components(links)), "across")
+        for step in range(ROUNDS):
+            pairs = stage(_with_some(members, label, step), "some")
+            if pairs.isEmpty():
+                break
+            links = links.union(_links(pairs, sets))
+            label = stage(components(links), "label")
+        pairs = stage(_across(members, label), "across")
         if not pairs.isEmpty():
             links = links.union(_links(pairs, sets))
+            label = components(links)
 
     # from classes to rows: a component is named by its first class until its rows are known
-    named = components(links).select(F.col("node").alias("cid"), "component")
+    named = label.select(F.col("node").alias("cid"), "component")
     docs = docs.join(named, "cid", "left").withColumn("c", F.coalesce("component", "cid"))
     ids = base.select(F.col("_rid").alias("rid"), F.col(doc_id).alias("id"))
     docs = docs.select("rid", "n", "c").join(ids, "rid")
