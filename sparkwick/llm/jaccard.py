@@ -348,10 +348,16 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch("cid long, items binary", [cids, found])
 
 
+def _both(pairs: DataFrame, of) -> DataFrame:
+    """``of`` applied to either end of the pairs, one after the other."""
+    return of(pairs, "a").union(of(pairs, "b"))
+
+
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b: classes) that link, found by search in the sets of their classes."""
     # a class with many partners is the query; its candidates are dealt over several groups
-    degree = pairs.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").count()
+    degree = _both(pairs, lambda p, end: p.groupBy(F.col(end).alias("cid")).count())
+    degree = degree.groupBy("cid").agg(F.sum("count").alias("count"))
     left = degree.select(F.col("cid").alias("a"), F.col("count").alias("da"))
     right = degree.select(F.col("cid").alias("b"), F.col("count").alias("db"))
     turned = pairs.join(left, "a").join(right, "b")
@@ -477,7 +483,7 @@ def join(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame
         "a", "b", F.col("na").alias("n"), F.col("nb").alias("pos")
     )
     pairs = stage(_enough(found, members), "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("cid"))
+    ends = _both(pairs, lambda p, end: p.select(F.col(end).alias("cid")).distinct())
     needed = ends.union(members.select("b")).distinct().join(reps, "cid").select("cid", "rid")
     sets = rows.join(needed, "rid").select("cid", "text").mapInArrow(
         _sets, "cid long, items binary"
