@@ -45,6 +45,8 @@ def duck(sf: str):
 def canon(df: pd.DataFrame) -> pd.DataFrame:
     df = df[sorted(df.columns)].copy()
     for c in df.columns:
+        if str(df[c].dtype) == "Int64":  # integers with nulls; Spark's arrive as floats
+            df[c] = df[c].astype("float64") if df[c].isna().any() else df[c].astype("int64")
         if df[c].map(lambda v: isinstance(v, (list, np.ndarray))).any():
             df[c] = df[c].map(lambda v: None if v is None else str(list(v)))
     text = df.astype(object).where(df.notna(), None).map(repr)
