@@ -21,13 +21,14 @@ from pyspark.sql.window import Window
 from sparkwick.llm.common import stage
 from sparkwick.llm.vectors import dimension, lists, matrix, usable
 
-#: Vectors per list aimed at, lists at most, and sampled vectors per list.
-LIST, LISTS, SAMPLE = 200, 2048, 32
+#: Half the root of the number of vectors is the number of lists, up to so many; sampled vectors
+#: per list.
+LISTS, SAMPLE = 4096, 32
 #: A vector joins further lists up to this ratio of the nearest distance, and this many lists.
 BORDER, COPIES = 1.15, 4
 #: A query reads lists up to this ratio of the nearest distance, at most this share of all lists
 #: (but always this many): where vectors have no structure, a recall of 0.9 needs about that.
-RATIO, SHARE, PROBES = 1.5, 0.15, 12
+RATIO, SHARE, PROBES = 1.5, 0.2, 12
 #: Neighbours of a centroid in the graph.
 DEGREE = 16
 #: Vectors and queries of a block at most.
@@ -165,7 +166,7 @@ def search(
     n = entries.count()
     if not n:
         return none
-    k = int(min(LISTS, max(1, n // LIST)))
+    k = int(min(LISTS, max(1, round(n**0.5 / 2))))
     share = min(1.0, 1.2 * SAMPLE * k / n)
     picked = F.pmod(F.xxhash64("uid"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
     sample = entries.where(picked).select("uid", "v").limit(SAMPLE * k * 2).toArrow()
