@@ -48,7 +48,7 @@ def encode(
     ``decoded``). Repeated rows stay separate. Texts of up to ``LEAF`` characters are encoded
     whole. Longer ones are halved until every part fits a leaf, the leaves are encoded as rows of
     their own, spread over all tasks, and joined again per text. Columns of ``df`` named like a
-    result are replaced. ``df`` must be a plain read (see with_row_id).
+    result are replaced.
     """
     keep = [c for c in (df.columns if keep is None else keep) if c not in _NEW]
     base = with_row_id(df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_t")), "_rid")

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from sparkwick.sources.staging import checkpoint_dir
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bits of a row id that number the rows of a file.
+ROW_BITS = 40
 
 
 def shared_folder(spark, name: str) -> str:
@@ -37,13 +39,34 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _is_plain_read(df: DataFrame) -> bool:
+    """Whether every row of ``df`` is one row of a Parquet file, by its plan."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.child()
+    if node.nodeName() != "LogicalRelation":
+        return False
+    relation = node.relation()
+    if relation.getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    return relation.fileFormat().getClass().getSimpleName() == "ParquetFileFormat"
+
+
 def with_row_id(df: DataFrame, name: str = "rid") -> DataFrame:
-    """Number the rows of a table (not dense).
+    """Number the rows of a table (not dense); every scan of the result gives the same numbers.
 
-    Two scans of one table give the same numbers, since they follow files and row order; ``df``
-    must therefore be a plain read (or staged), not the result of a shuffle.
+    Rows of a plain read of Parquet files are numbered by their file and their place in it, which
+    no split of the scan changes. Any other table is stored once with its numbers.
     """
-    return df.withColumn(name, F.monotonically_increasing_id())
+    if not _is_plain_read(df):
+        return stage(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    # one path per file of the read, as many as the driver's own listing has
+    path = F.col("_metadata.file_path")
+    paths = sorted(r[0] for r in df.select(path.alias("_file")).distinct().collect())
+    files = df.sparkSession.createDataFrame(list(enumerate(paths)), "_no long, _file string")
+    numbered = df.select(*df.columns, path.alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    rid = F.shiftleft("_no", ROW_BITS).bitwiseOR(F.col("_row")).alias(name)
+    return numbered.join(F.broadcast(files), "_file").select(*df.columns, rid)
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -446,7 +446,7 @@ def join(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame
     of each component is kept: the first of those with that id. A text that is null or has no
     words has no shingle, links with nothing and is kept. Equal texts (repeated rows too) are one
     class. Rows with a null id take part; their component is named by the ids of the others, null
-    if there are none. Results replace columns of the same name. ``df`` must be a plain read.
+    if there are none. Results replace columns of the same name.
     """
     new = ["n_shingles", "component_id", "is_kept"]
     base = with_row_id(df.drop(*new), "_rid")

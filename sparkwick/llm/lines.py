@@ -22,7 +22,7 @@ def drop_repeated_windows(
     with fewer lines have no window and stay as they are, empty ones too; a null text stays null
     with no lines; rows with a null ``order`` rank first; repeated rows rank as they are stored. A
     text that loses all lines becomes empty. Other columns pass through; ``n_lines`` and
-    ``n_removed`` of the input are replaced. ``df`` must be a plain read (see with_row_id).
+    ``n_removed`` of the input are replaced.
 
     Only hashes of windows (128 bits) are shuffled to find repeats, combined before the shuffle;
     the join back is an equi-join that adaptive execution splits on frequent windows.

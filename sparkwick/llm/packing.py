@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwick.llm.common import stage, with_row_id
+from sparkwick.llm.common import stage
 from sparkwick.llm.tokens import load
 
 #: Tokens of a sequence.
@@ -38,7 +38,10 @@ def cut_pieces(df: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame
     tokens but the first, which takes what is left over. A null text counts as empty: one piece
     that holds the closing id. Repeated rows give pieces of their own.
     """
-    rows = with_row_id(df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "rid")
+    # one scan gives the ids, and the pieces are stored with them
+    rows = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn(
+        "rid", F.monotonically_increasing_id()
+    )
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = load(tokenizer)

@@ -109,7 +109,7 @@ def drop_repeats(df: DataFrame, text: str = "text", length: int = LENGTH) -> Dat
     Texts are taken as UTF-8 bytes and matches never cross texts; a null text counts as empty, and
     texts shorter than ``length`` have no string of that length and stay whole. All strings are
     judged on the input, so every copy goes, the first too; repeated rows are copies of each other.
-    Results replace columns of the same name. ``df`` must be a plain read (see with_row_id).
+    Results replace columns of the same name.
     """
     half, width, _ = _shape(length)
     if width > 4096:

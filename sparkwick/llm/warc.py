@@ -21,6 +21,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkwick.llm.common import with_row_id
+
 #: Payloads of fewer bytes are stored in full even if another page has the same.
 REVISIT_BYTES = 1000
 #: Records of a file at most.
@@ -49,9 +51,7 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:
     time, so all records get ``date``.
     """
     html = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", "url", html.alias("html")).withColumn(
-        "rid", F.monotonically_increasing_id()
-    )
+    rows = with_row_id(pages.select("page_id", "url", html.alias("html")))
     light = rows.select(
         "rid", "page_id", F.sha2(F.col("html").cast("binary"), 256).alias("hash"),
         F.octet_length("html").alias("n"),
