@@ -94,6 +94,16 @@ def _runs(df: DataFrame, text: str, name: str, pattern: str, guard: Column) -> D
     return df.withColumn(name, placed).drop("_m", "_g", "_z", "_b", "_s")
 
 
+def _computed(x: Column) -> Column:
+    """``x``, computed once per row: the optimizer neither pushes filters into it nor inlines it.
+
+    A filter on a result, or on what is exploded, would else repeat the whole expression with
+    its lists of matches inside the functions over them, so that a text costs at least the square
+    of its matches.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, x)
+
+
 def _digits(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
 
@@ -228,7 +238,8 @@ def aggregate_votes(patterns: list[dict], rounds: int = 50) -> tuple[np.ndarray,
 
 def fit(df: DataFrame, text: str = "text") -> Model:
     """Train the classifier on the candidates of all texts."""
-    found = _with_candidates(df.select(text), text).select(F.explode("_c").alias("c"))
+    found = _with_candidates(df.select(text), text).select(_computed(F.col("_c")).alias("_c"))
+    found = found.select(F.explode("_c").alias("c"))
     keys = ["kind", *_VOTES, "size"]
     counted = found.groupBy(*(F.col(f"c.{k}").alias(k) for k in keys)).agg(F.count("*").alias("n"))
     patterns = [r.asDict() for r in counted.collect()]
@@ -265,6 +276,19 @@ def _base_spans(kind: str) -> Column:
     return F.coalesce(shaped, F.array().cast("array<struct<k:int,s:int,e:int>>"))
 
 
+def _in_blocks(spans: str) -> Column:
+    """The spans of a column sorted by start, in blocks with the stretch (s, e) that each covers."""
+    count = F.floor((F.size(spans) - 1) / _BLOCK).cast("int")
+    blocks = F.transform(
+        F.sequence(F.lit(0), count), lambda b: F.slice(spans, b * _BLOCK + 1, F.lit(_BLOCK))
+    )
+    covered = F.transform(blocks, lambda b: F.struct(
+        F.get(b, F.lit(0))["s"].alias("s"), F.array_max(F.transform(b, lambda x: x["e"])).alias("e"),
+        b.alias("spans")))
+    none = F.array().cast("array<struct<s:int,e:int,spans:array<struct<s:int,e:int>>>>")
+    return F.when(F.size(spans) > 0, covered).otherwise(none)
+
+
 def find(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``df`` plus ``base`` and ``added``: arrays of (kind, start, end), by kind, then start.
 
@@ -281,7 +305,12 @@ def find(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
         out = out.withColumn(f"_{kind}", _base_spans(kind))
     out = out.withColumn("base", F.concat(*(f"_{k}" for k in BASE)))
     out = _with_candidates(out, text)
-    clear = lambda c: ~F.exists("base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
+    brief = F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
+    out = out.withColumn("_h", _computed(F.sort_array(brief)))
+    out = out.withColumn("_h", _computed(_in_blocks("_h")))
+    meets = lambda b, c: (b["s"] < c["e"]) & (c["s"] < b["e"])
+    clear = lambda c: ~F.exists("_h", lambda h: meets(h, c) & F.exists(
+        h["spans"], lambda b: meets(b, c)))
     number = lambda c: F.array_position(F.array(*map(F.lit, KINDS)), c["kind"]) - 1
     added = F.transform(F.filter("_c", lambda c: model.says(c) & clear(c)), lambda c: F.struct(
         number(c).cast("int").alias("k"), c["s"].alias("s"), c["e"].alias("e")))
@@ -290,7 +319,7 @@ def find(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
         F.get(F.array(*map(F.lit, KINDS)), x["k"]).alias("kind"), x["s"].alias("start"),
         x["e"].alias("end")))
     return out.withColumn("added", added).select(
-        *keep, named("base").alias("base"), named("added").alias("added")
+        *keep, _computed(named("base")).alias("base"), _computed(named("added")).alias("added")
     )
 
 
@@ -328,7 +357,7 @@ def redact(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     out = out.withColumn("_g", F.when(F.size("_m") > 0, F.split("_t", WIDE, -1)))
     out = _rewritten(out, lambda m: F.when(
         model.says(m), F.concat(F.lit("["), F.upper(m["kind"]), F.lit("]"))).otherwise(m["m"]))
-    return out.select(*(F.col("_t").alias(c) if c == text else c for c in columns))
+    return out.select(*(_computed(F.col("_t")).alias(c) if c == text else c for c in columns))
 
 
 def _base_mark(kind: str):

@@ -112,3 +112,34 @@ def test_reliability_is_learned():
     truth, rates = pii.aggregate_votes(patterns)
     assert truth[0] > 0.9 and truth[1] > 0.9 and truth[2] < 0.1 and truth[3] < 0.1
     assert abs(rates["secret", "context"][1][2] - rates["secret", "context"][0][2]) < 0.05
+
+
+def test_full_length_runs(spark, tmp_path):
+    """The texts of test_long_runs at ten times their size, with a filter on the result."""
+    texts = ["1" * 200_000, "1 " * 100_000, "a" * 200_000 + "@", "a.b@" + "c." * 50_000 + "d",
+             "+1" + " " * 100_000, "+1" * 50_000, "x@y.zz " * 20_000]
+    df = table(spark, tmp_path / "t", [(i, t, None, None) for i, t in enumerate(texts)], SCHEMA)
+    model = pii.fit(df)
+    found = pii.find(df, model)
+    got = {r.doc_id: r.base for r in found.collect()}
+    assert [len(got[i]) for i in range(len(texts))] == [0, 0, 0, 1, 0, 0, 20_000]
+    assert got[6][-1].end == 20_000 * 7 - 1
+    assert found.where("size(base) > 1").count() == 1
+    assert pii.redact(df, model).where("text like '%[EMAIL]%'").count() == 2
+
+
+def test_many_candidates(spark, tmp_path):
+    """Tens of thousands of candidates in one text, half of them within base spans."""
+    n = 10_000
+    text = "x@y.zz, call (212) 555-1234, +1 (212) 555-1234; " * n
+    df = table(spark, tmp_path / "t", [(1, text, None, None), (2, "call (212) 555-1234", None, None)], SCHEMA)
+    model = pii.fit(df)
+    got = {r.doc_id: r for r in pii.find(df, model).collect()}
+    size = len(text) // n
+    for k, at in ((0, 0), (n, 29)):
+        assert tuple(got[1].base[k])[1] == at
+    assert [x.start for x in got[1].added] == [13 + size * i for i in range(n)]
+    assert [(x.kind, x.start) for x in got[2].added] == [("phone", 5)]
+    red = pii.redact(df, model).where("text like '%[PHONE]%'").collect()
+    assert {r.doc_id: r.text for r in red} == {
+        1: "[EMAIL], call [PHONE], [PHONE]; " * n, 2: "call [PHONE]"}
