@@ -4,7 +4,8 @@ Vectors get one more component that makes all norms equal, so that the largest i
 smallest distance. Centroids are fitted on a bounded sample and kept in balance by splitting
 crowded ones; every vector is put on the list of its nearest centroid and, near a border, on
 further ones. A query finds centroids by walking an in-memory graph of them and reads the lists
-whose distance is within a ratio of the nearest one's. Lists are joined with the queries that read
+whose distance is within a ratio of the nearest one's, or of the one that makes the candidates
+enough where the nearest hold too few. Lists are joined with the queries that read
 them in blocks of bounded size.
 """
 
@@ -121,12 +122,44 @@ class Graph:
         return np.einsum("nkd,nkd->nk", q[:, None, :] - c, q[:, None, :] - c)
 
 
-def home_lists(x: np.ndarray, graph: Graph) -> tuple[np.ndarray, np.ndarray]:
-    """(row, list) pairs: the nearest list of every row and those that are hardly farther."""
+def home_lists(x: np.ndarray, graph: Graph) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, list, whether it is the nearest): that list of every row and those hardly farther."""
     ids, dist = graph.search(x, 16)
     ids, dist = ids[:, :COPIES], dist[:, :COPIES]
     row, col = np.nonzero((ids >= 0) & (dist <= BORDER * dist[:, :1]))
-    return row, ids[row, col]
+    return row, ids[row, col], col == 0
+
+
+def probed_lists(
+    q: np.ndarray, graph: Graph, held: np.ndarray, least: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list) pairs: the lists that every row reads.
+
+    ``held`` has the ids whose nearest list each is. Where the lists within ``RATIO`` of the nearest
+    hold fewer than ``least`` ids, the ratio counts from the list that makes them enough, so that
+    all are read if there are not as many.
+    """
+    most = max(PROBES, int(SHARE * len(graph.c)))
+    ids, dist = graph.search(q, most + 16)
+    ids, dist = ids[:, :most], dist[:, :most]
+    row, col = np.nonzero((ids >= 0) & (dist <= RATIO * dist[:, :1]))
+    where = ids[row, col]
+    few = np.bincount(row, held[where], minlength=len(q)) < least
+    if not few.any():
+        return row, where
+    d = -2 * q[few] @ graph.c.T + (graph.c * graph.c).sum(axis=1) + (q[few] ** 2).sum(axis=1)[:, None]
+    order = np.argsort(d, axis=1, kind="stable")
+    d = np.sqrt(np.maximum(np.take_along_axis(d, order, axis=1), 0))
+    count = np.cumsum(held[order], axis=1)
+    last = np.minimum((count < least).sum(axis=1), d.shape[1] - 1)[:, None]
+    place = np.arange(d.shape[1])
+    reads = (d <= RATIO * np.take_along_axis(d, last, axis=1)) & (place < most) | (place <= last)
+    more, at = np.nonzero(reads)
+    kept = ~few[row]
+    return (
+        np.concatenate([row[kept], np.flatnonzero(few)[more]]),
+        np.concatenate([where[kept], order[more, at]]),
+    )
 
 
 def search(
@@ -139,7 +172,7 @@ def search(
     another length than most, or with a null or infinite component take no part. Rows with equal
     vectors are searched once; of their ids the ``top`` + 1 smallest can be among the nearest, so
     no more are kept. Repeated rows with the same id count as one. A query with fewer candidates
-    gets all that were found. Other columns of ``df`` are not used.
+    gets all. Other columns of ``df`` are not used.
     """
     spark = df.sparkSession
     none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -187,11 +220,13 @@ def search(
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 v = matrix(part.column(1), dims)
-                row, where = home_lists(lifted(v), graph)
+                row, where, home = home_lists(lifted(v), graph)
+                ids = part.column(2).to_numpy(zero_copy_only=False)[row].astype(np.int64) * home
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(where), part.column(0).take(pa.array(row)), lists(v[row])],
-                    names=["list", "uid", "v"],
-                )
+                    [pa.array(where), part.column(0).take(pa.array(row)), lists(v[row]),
+                     pa.array(ids)],
+                    names=["list", "uid", "v", "held"],
+                )
 
     def to_probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph = Graph(shared.value)
@@ -201,17 +236,20 @@ def search(
                 v = matrix(part.column(1), dims)
                 # the length of a query does not matter: give it the length of the lifted vectors
                 q = v * (np.sqrt(norm) / np.sqrt((v * v).sum(axis=1)))[:, None]
-                most = max(PROBES, int(SHARE * len(graph.c)))
-                ids, dist = graph.search(np.pad(q, ((0, 0), (0, 1))), most + 16)
-                ids, dist = ids[:, :most], dist[:, :most]
-                row, col = np.nonzero((ids >= 0) & (dist <= RATIO * dist[:, :1]))
+                q = np.pad(q, ((0, 0), (0, 1)))
+                row, where = probed_lists(q, graph, held.value, top + 1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[row, col]), part.column(0).take(pa.array(row)), lists(v[row])],
+                    [pa.array(where), part.column(0).take(pa.array(row)), lists(v[row])],
                     names=["list", "uid", "v"],
                 )
 
     shape = "list long, uid long, v array<double>"
-    posted = stage(entries.select("uid", "v").mapInArrow(to_lists, shape), "lists")
+    posted = entries.select("uid", "v", F.size("ids").alias("n"))
+    posted = stage(posted.mapInArrow(to_lists, f"{shape}, held long"), "lists")
+    counts = np.zeros(len(centroids), dtype=np.int64)
+    for r in posted.groupBy("list").agg(F.sum("held")).collect():  # at most LISTS rows
+        counts[r[0]] = r[1]
+    held = spark.sparkContext.broadcast(counts)
     different = queries.groupBy("h", "v").agg(F.min("id").alias("uid"))
     different = stage(different.select("uid", "h", "v"), "different")
     probes = stage(different.select("uid", "v").mapInArrow(to_probes, shape), "probes")

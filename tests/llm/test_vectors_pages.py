@@ -50,6 +50,42 @@ def test_nearest(spark, tmp_path):
     assert ann.search(few.where("vec_id < 0"), F.lit(True)).count() == 0
 
 
+def tight(n, size, dims=64):
+    """Unit vectors in tight groups of ``size``."""
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.standard_normal((n // size, dims)), size, axis=0)
+    x += 0.01 * rng.standard_normal(x.shape)
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def test_tight_groups(spark, tmp_path):
+    for n, size in ((60, 10), (3000, 10)):
+        x = tight(n, size).astype(np.float32)
+        rows = [(i, x[i].tolist(), 1, "s", 1, 2) for i in range(n)]
+        got = ann.search(table(spark, tmp_path / str(n), rows, VECTORS), F.col("vec_id") % 20 == 0).toPandas()
+        hits = 0
+        for q, g in got.groupby("query_id"):
+            assert sorted(g["rank"]) == list(range(1, 21)) and g.vec_id.is_unique, (n, q)
+            score = x.astype(np.float64) @ x[q]
+            best = [i for i in np.argsort(-score, kind="stable").tolist() if i != q][:20]
+            hits += len(set(best) & set(g.vec_id))
+        assert got.query_id.nunique() == n // 20
+        assert hits / len(got) >= 0.9, (n, hits / len(got))
+
+
+def test_lists_hold_enough():
+    rng = np.random.default_rng(7)
+    c = 10 * rng.standard_normal((60, 6))
+    q = c[:40] + 0.01 * rng.standard_normal((40, 6))
+    graph = ann.Graph(c)
+    for held in (np.full(60, 1), np.full(60, 0), np.where(np.arange(60) % 7 == 0, 5, 0), np.full(60, 50)):
+        row, where = ann.probed_lists(q, graph, held, 21)
+        for k in range(len(q)):
+            own = where[row == k]
+            assert len(set(own.tolist())) == len(own)
+            assert held[own].sum() >= min(21, held.sum())
+
+
 def test_graph_and_balance():
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.standard_normal((3000, 6)), 0.01 * rng.standard_normal((3000, 6))])
