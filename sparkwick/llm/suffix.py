@@ -1,15 +1,16 @@
-"""Removal of repeated byte strings by prefix doubling over sampled positions.
+"""Removal of repeated byte strings by local hashes of sampled positions and one doubling.
 
 A byte goes if a string of ``length`` bytes that covers it also starts anywhere else. Ranking every
-position would shuffle each of them several times, so doubling runs over sampled positions:
+position and doubling its rank until it is unique would shuffle each of them several times. Local
+hashes replace that here, with a single doubling over sampled positions:
 
 1. Every start of a string points at one position near it, the smallest hash among the next ones
    (winnowing). Equal strings point at the same place in them, so it is enough to rank these
    positions; starts that share one form a block of consecutive starts.
-2. Prefix doubling: the rank of a position at twice the length is the pair of its rank and the rank
-   one length further on. Spark groups the pairs, positions whose pair is unique leave, the rest
-   goes on, until the ranked strings are as long as any two equal strings must share from
-   their position on. Ranks are 64-bit fingerprints, since only their equality matters.
+2. One doubling: every task hashes both halves (133 bytes each for strings of 400) of what two equal
+   strings must share from their position on. Spark groups by the first half, positions that are
+   alone leave, and then by the pair of halves. There is no first rank, no loop and no reranking.
+   Ranks are 64-bit fingerprints, since only their equality matters.
 3. Past the threshold: blocks whose whole extent is equal are repeated in all their starts. Blocks
    that share a rank without being equal are the borders of repeats; their starts are compared
    one by one, with one representative of every kind of block that has the same rank.
