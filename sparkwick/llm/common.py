@@ -17,6 +17,17 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ROW_BITS = 40
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, changed where ``df`` has a column that is called so (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_folder(spark, name: str) -> str:
     """A fresh folder below the cluster's checkpoint folder, which every executor can reach."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
