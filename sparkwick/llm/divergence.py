@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkwick.llm.common import fresh, stage
+from sparkwick.llm.common import fresh, stage, with_row_id
 
 SPACE = r"\x20\x09-\x0D"
 SYMBOLS = "#*$%&|<>"
@@ -21,7 +21,7 @@ CLASSES = {"symbol": rf"[{SYMBOLS}]", "lower": r"\p{Ll}", "upper": r"\p{Lu}", "d
 COMMON_WORDS = 32
 #: Documents with fewer words than this fail the base rule.
 LEAST_WORDS = 50
-#: A histogram of fewer characters or words is not judged.
+#: Histograms of fewer characters or words are not judged.
 GUARD_CHARS, GUARD_WORDS = 200, 50
 #: Distances above these mark a document as unlike its language. On the labelled documents of the
 #: test tables 99.9 % of the clean ones of 50 words and more lie below 0.196 and 0.35.
@@ -42,8 +42,9 @@ def _long(c: Column) -> Column:
     return c.cast("long")
 
 
-def _without(text: Column, pattern: str) -> Column:
-    return _long(F.length(text) - F.length(F.regexp_replace(text, f"{pattern}+", "")))
+def _words(text: Column) -> Column:
+    """Maximal runs of characters that are no spaces."""
+    return F.array_remove(F.split(text, f"[{SPACE}]+"), "")
 
 
 def _repeat_words(words: Column) -> Column:
@@ -76,52 +77,76 @@ def _repeat_words(words: Column) -> Column:
     return _long(_once(words, windows))
 
 
-def _counted(text: Column) -> dict[str, Column]:
-    """Base counts and character classes of one text (not null)."""
-    word = F.regexp_extract_all(text, F.lit(f"([^{SPACE}]+)"), 1)
-    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(f"[^{SPACE}]"))
-    return {
-        "n_words": _long(F.size(word)),
-        "n_chars": _long(F.length(text)),
-        "word_chars": _long(F.length(F.regexp_replace(text, f"[{SPACE}]+", ""))),
-        **{n: _without(text, p) for n, p in CLASSES.items()},
-        "n_dup_lines": _long(_once(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))),
-        "n_repeat_words": _repeat_words(word),
-    }
+def _class_counts(text: Column) -> Column:
+    """Struct of ``word_chars``, the characters of each class, and ``rest``.
+
+    One class after the other is taken out, so later ones are looked for in what is left.
+    """
+    names = ["word_chars", *CLASSES]
+    patterns = [f"[{SPACE}]+", *(f"{p}+" for p in CLASSES.values())]
+
+    def take(left: Column, i: int, sizes: list[Column]) -> Column:
+        sizes = [*sizes, _long(F.length(left))]
+        if i == len(patterns):
+            space_free = sizes[1].alias(names[0])
+            named = [(a - b).alias(n) for n, a, b in zip(names[1:], sizes[1:-1], sizes[2:], strict=True)]
+            return F.struct(space_free, *named, sizes[-1].alias("rest"))
+        return _once(F.regexp_replace(left, patterns[i], ""), lambda x: take(x, i + 1, sizes))
+
+    return take(text, 0, [])
+
+
+def _key(lang: Column) -> Column:
+    """A join key of a language; null has its own."""
+    return F.coalesce(F.concat(F.lit("="), lang.cast("string")), F.lit(""))
 
 
-def _classes(c) -> list[Column]:
+def measure(df: DataFrame, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
+    """``df`` with row ids, and per id its language and the counts of its text (null: empty).
+
+    The counts are stored once; references and verdicts are both made from them.
+    """
+    rows = with_row_id(df, *fresh(df, "rid"))
+    whole = F.coalesce(F.col(_quoted(text)), F.lit(""))
+    lines = F.filter(F.split(whole, "\n", -1), lambda x: x.rlike(f"[^{SPACE}]"))
+    facts = rows.select(
+        F.col(rows.columns[-1]).alias("rid"),
+        F.col(_quoted(lang)).cast("string").alias("lang"),
+        _long(F.length(whole)).alias("n_chars"),
+        _class_counts(whole).alias("c"),
+        _once(_words(whole), lambda w: F.struct(
+            _long(F.size(w)).alias("n_words"), _repeat_words(w).alias("n_repeat_words"))).alias("w"),
+        _long(_once(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))).alias("n_dup_lines"),
+    )
+    return rows, stage(facts.select("rid", "lang", "n_chars", "c.*", "w.*", "n_dup_lines"), "facts")
+
+
+def _classes() -> list[Column]:
     """Characters of each class, spaces and the rest included; they add up to the length."""
-    named = [c[n] for n in CLASSES]
-    rest = c["word_chars"]
-    for x in named:
-        rest = rest - x
-    return [c["n_chars"] - c["word_chars"], *named, rest]
+    return [F.col("n_chars") - F.col("word_chars"), *(F.col(n) for n in CLASSES), F.col("rest")]
 
 
-def _letter_words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), 1)
+def _lower_words(rows: DataFrame, text: str, lang: str) -> DataFrame:
+    words = _words(F.lower(F.coalesce(F.col(_quoted(text)), F.lit(""))))
+    return rows.select(
+        F.col(rows.columns[-1]).alias("rid"), F.col(_quoted(lang)).cast("string").alias("lang"), F.explode(words).alias("word")
+    )
 
 
 def learn(
-    df: DataFrame, text: str = "text", lang: str = "lang", common_words: int = COMMON_WORDS
-) -> DataFrame:
+    rows: DataFrame, facts: DataFrame, text: str = "text", lang: str = "lang",
+    common_words: int = COMMON_WORDS,
+) -> DataFrame:
     """References: ``lang``, ``chars`` (shares), ``words`` (common ones), ``shares`` (others last).
 
     Every row with a text and a language counts. A class share is the median over the texts of at
     least ``GUARD_CHARS`` characters, from counts per thousandth, so a minority of odd texts does
-    not move it. Words are counted before the shuffle; the ``common_words`` most frequent ones
-    (ties: the smaller word) are kept per task first, so no task sees all words of a language. A
-    language without a long text or without words has no reference.
+    not move it. Words are compared in lower case and counted before the shuffle; the
+    ``common_words`` most frequent ones (ties: the smaller word) are kept per task first, so no
+    task sees all words of a language. A language without a long text has no reference.
     """
-    rows = df.select(F.col(lang).alias("lang"), F.col(text).alias("text")).dropna()
-    at = {
-        "n_chars": _long(F.length("text")),
-        "word_chars": _long(F.length(F.regexp_replace("text", f"[{SPACE}]+", ""))),
-        **{n: _without(F.col("text"), p) for n, p in CLASSES.items()},
-    }
-    sizes = rows.select("lang", *(v.alias(n) for n, v in at.items())).where(F.col("n_chars") >= GUARD_CHARS)
-    step = [F.floor(STEPS * x / F.col("n_chars")) for x in _classes({n: F.col(n) for n in at})]
+    sizes = facts.where(F.col("lang").isNotNull() & (F.col("n_chars") >= GUARD_CHARS))
+    step = [F.floor(STEPS * x / F.col("n_chars")) for x in _classes()]
     votes = sizes.select("lang", F.posexplode(F.array(*step)).alias("class", "step"))
     votes = votes.groupBy("lang", "class", "step").agg(F.count("*").alias("n"))
     whole = Window.partitionBy("lang", "class")
@@ -136,7 +161,7 @@ def learn(
         "lang", F.transform(steps, lambda x: (1 - SPREAD) * x / total + even).alias("chars")
     )
 
-    words = rows.select("lang", F.explode(_letter_words(F.col("text"))).alias("word"))
+    words = _lower_words(rows, text, lang).where(F.col("lang").isNotNull())
     counts = stage(words.groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
     total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
@@ -165,94 +190,65 @@ def _distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(bits, F.lit(0.0)))
 
 
-def _word_shares(words: Column, common: Column) -> Column:
-    """Shares of each of the ``common`` words among ``words`` and, last, of all others.
-
-    The words found are taken out of the list before the next one is counted, so the list shrinks.
-    """
-    n = F.size(words).cast("double")
-    start = F.struct(words.alias("rest"), F.array().cast("array<double>").alias("out"))
-
-    def step(state, word):
-        return _once(
-            F.array_remove(state["rest"], word),
-            lambda left: F.struct(
-                left.alias("rest"),
-                F.array_append(state["out"], (F.size(state["rest"]) - F.size(left)) / n).alias("out"),
-            ),
-        )
-
-    return F.aggregate(
-        common, start, step, lambda s: F.array_append(s["out"], F.size(s["rest"]) / n)
-    )
-
-
 def judge(
-    df: DataFrame, references: DataFrame, text: str = "text", lang: str = "lang",
+    rows: DataFrame, facts: DataFrame, references: DataFrame, text: str = "text", lang: str = "lang",
     most_chars: float = MOST_CHARS, most_words: float = MOST_WORDS,
 ) -> DataFrame:
-    """``df`` with its counts, distances and verdict; input columns of these names are replaced.
+    """The measured rows with counts, distances and verdict; columns of these names are replaced.
 
     Adds ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``,
     ``base_failed``, ``js_chars``, ``js_words`` and ``kept``. A null or empty text has no words and
     fails the base rule. The distances are null where a text is shorter than the guards, where the
-    base rule has failed already, or where no reference fits; a null distance never rejects. A row
-    whose language is null is held against the nearest reference. Repeated rows are judged alike;
-    an empty table gives no rows. One row is handled inside one task, in memory that is
-    a multiple of its text; no row is shuffled.
+    base rule has failed already, or where its language has no reference; a null distance never
+    rejects. A row whose language is null is held against the nearest reference. Repeated rows are
+    judged alike; an empty table gives no rows.
+
+    Words are looked up in the references where they are read and leave their task as one row of
+    counts per document. A text is handled inside one task, in memory that is a multiple of it.
     """
     new = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
            "js_chars", "js_words", "kept")
-    base = df.drop(*new)
-    row, c, own, ref = fresh(base, "row", "counts", "own", "ref")
-    one = references.select(
-        F.col("lang").alias(ref), F.array(F.struct("chars", "words", "shares")).alias(own)
-    )
-    every = F.sort_array(F.collect_list(F.struct("lang", "chars", "words", "shares")))
-    any_lang = references.agg(
-        F.lit(None).cast(references.schema["lang"].dataType).alias(ref),
-        F.transform(every, lambda r: F.struct(r["chars"], r["words"], r["shares"])).alias(own),
+    rid, verdicts = rows.columns[-1], *fresh(rows, "verdict")
+    references = references.select("*", F.col("lang").alias("ref"))
+    bins = references.agg(F.max(F.size("words"))).first()[0] or 0
+    few = references.count() <= BROADCAST_LANGUAGES
+    small = F.broadcast if few else lambda x: x
+    keyed = references.withColumn("key", _key(F.col("lang")))
+    keyed = keyed.unionByName(references.withColumn("key", F.lit("")))
+
+    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    facts = facts.withColumn("base_failed", failed).withColumn("key", _key(F.col("lang")))
+    pairs = facts.where(~F.col("base_failed")).join(small(keyed.drop("lang", "words")), "key")
+
+    entries = keyed.select("key", "ref", F.posexplode("words").alias("bin", "word"))
+    entries = entries.groupBy("key", "word").agg(F.collect_list(F.struct("ref", "bin")).alias("at"))
+    found = _lower_words(rows, text, lang).withColumn("key", _key(F.col("lang")))
+    found = found.join(small(entries), ["key", "word"]).select("rid", F.explode("at").alias("at"))
+    found = found.groupBy("rid", F.col("at.ref").alias("ref")).agg(
+        F.array(*(F.count_if(F.col("at.bin") == i) for i in range(bins))).alias("counts")
     )
-    known = one.unionByName(any_lang)
-    known = F.broadcast(known) if references.count() <= BROADCAST_LANGUAGES else known
-    whole = F.coalesce(F.col(f"{row}.{_quoted(text)}"), F.lit(""))
-    packed = base.select(F.struct(*(F.col(_quoted(x)) for x in base.columns)).alias(row))
-    counts = F.struct(*(v.alias(n) for n, v in _counted(whole).items()))
-    rows = packed.withColumn(c, counts).join(
-        known, F.col(f"{row}.{_quoted(lang)}").eqNullSafe(F.col(ref)), "left"
-    )
-
-    at = {n: F.col(f"{c}.{n}") for n in ("n_words", "n_chars", "word_chars", "n_dup_lines", "n_repeat_words", *CLASSES)}
-    failed = (at["n_words"] < LEAST_WORDS) | (100 * at["n_repeat_words"] > 50 * at["n_words"])
-    shares = F.array(*(x / at["n_chars"] for x in _classes(at)))
-    nearest = lambda f: F.array_min(F.transform(own, f))
-    js_chars = _once(shares, lambda p: nearest(lambda r: _distance(p, r["chars"])))
-    js_words = _once(
-        _letter_words(whole),
-        lambda w: F.when(
-            F.size(w) >= GUARD_WORDS,
-            nearest(lambda r: _distance(_word_shares(w, r["words"]), r["shares"])),
-        ),
-    )
-    out = rows.select(
-        row,
-        at["n_words"].alias("n_words"),
-        at["word_chars"].alias("word_chars"),
-        at["symbol"].alias("n_symbols"),
-        at["n_dup_lines"].alias("n_dup_lines"),
-        at["n_repeat_words"].alias("n_repeat_words"),
-        failed.alias("base_failed"),
-        F.when(~failed & (at["n_chars"] >= GUARD_CHARS), js_chars).alias("js_chars"),
-        F.when(~failed, js_words).alias("js_words"),
+    pairs = pairs.join(found, ["rid", "ref"], "left")
+    n = F.col("n_words").cast("double")
+    counts = F.slice(F.coalesce("counts", F.array_repeat(F.lit(0).cast("long"), bins)), 1, F.size("shares") - 1)
+    others = n - F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
+    word_shares = F.array_append(F.transform(counts, lambda x: x / n), others / n)
+    char_shares = F.array(*(x / F.col("n_chars") for x in _classes()))
+    distances = pairs.groupBy("rid").agg(
+        F.min(F.when(F.col("n_chars") >= GUARD_CHARS, _distance(char_shares, F.col("chars")))).alias("js_chars"),
+        F.min(F.when(n >= GUARD_WORDS, _distance(word_shares, F.col("shares")))).alias("js_words"),
     )
     unlike = (F.coalesce("js_chars", F.lit(0.0)) > most_chars) | (
         F.coalesce("js_words", F.lit(0.0)) > most_words
     )
-    return out.select(
-        *(F.col(f"{row}.{_quoted(x)}").alias(x) for x in base.columns),
-        *new[:-1],
-        (~F.col("base_failed") & ~unlike).alias("kept"),
-    )
+    verdict = facts.join(distances, "rid", "left").select(
+        F.col("rid").alias(rid), F.struct(
+            "n_words", "word_chars", F.col("symbol").alias("n_symbols"), "n_dup_lines", "n_repeat_words",
+            "base_failed", "js_chars", "js_words", (~F.col("base_failed") & ~unlike).alias("kept"),
+        ).alias(verdicts),
+    )
+    replaced = {x.lower() for x in new}
+    own = [F.col(_quoted(x)) for x in rows.columns[:-1] if x.lower() not in replaced]
+    return rows.join(verdict, rid).select(*own, *(F.col(f"{verdicts}.{x}").alias(x) for x in new))
 
 
 def _quoted(name: str) -> str:

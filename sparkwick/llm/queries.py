@@ -150,7 +150,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules of every document: base counts and divergence from its language."""
     docs = _documents(spark, sf_dir).select("doc_id", "text", "lang")
-    judged = divergence.judge(docs, divergence.learn(docs))
+    rows, facts = divergence.measure(docs)
+    judged = divergence.judge(rows, facts, divergence.learn(rows, facts))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", F.round("js_chars", 6).alias("js_chars"), F.round("js_words", 6).alias("js_words"),
@@ -162,7 +163,7 @@ WITH d AS MATERIALIZED (
   SELECT row_number() OVER () AS r, doc_id, lang, text, coalesce(text, '') AS t FROM documents
 ), c AS MATERIALIZED (
   SELECT r, doc_id, lang, text, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words,
-    regexp_extract_all(lower(t), '\p{L}+') AS lw, length(t) AS n,
+    regexp_extract_all(lower(t), '[^\x20\x09-\x0D]+') AS lw, length(t) AS n,
     length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
     length(t) - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g')) AS symbol,
     length(t) - length(regexp_replace(t, '\p{Ll}+', '', 'g')) AS low,
@@ -278,12 +279,12 @@ WITH d AS (
   SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL
 ), x AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 3), ('D', 4), ('E', 5)) v(x, i)
 ), o AS (
-  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.i, b.i, c.i, d.i, e.i] AS at
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.i, b.i, c.i, d.i, e.i] AS pos
   FROM x a, x b, x c, x d, x e
   WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
 ), s AS (
-  SELECT part, filter_order, step::INTEGER AS step, at[step] AS i, fails, n, good, toxic, fails[at[step]] AS here,
-    len(list_filter(at[1:step - 1], lambda p: fails[p])) > 0 AS gone
+  SELECT part, filter_order, step::INTEGER AS step, pos[step] AS i, fails, n, good, toxic, fails[pos[step]] AS here,
+    len(list_filter(pos[1:step - 1], lambda p: fails[p])) > 0 AS gone
   FROM g, o, range(1, 6) AS r(step)
 ), sums AS (
   SELECT part, filter_order, step, i,
