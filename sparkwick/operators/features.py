@@ -278,9 +278,16 @@ def snapshot_features(
     layout: Layout = DEFAULT_LAYOUT,
 ) -> DataFrame:
     """One row per series: the full feature vector as of its last bar."""
-    keys = list(layout.keys)
     ev = event_tables(bars, cfg, layout)
     last = bar_features(bars, cfg, layout).where(C("bar_idx") == C("n_bars") - 1)
+    return assembled(stage(last), ev, feature_set, layout)
+
+
+def assembled(
+    last: DataFrame, ev: dict[str, DataFrame], feature_set: str, layout: Layout = DEFAULT_LAYOUT
+) -> DataFrame:
+    """Features of one bar per key next to the summaries of its events, in vector order."""
+    keys = list(layout.keys)
 
     def group(table: str, prefix: str, names, more=()):
         cols = [or_default(C(n).cast("double")).alias(f"{prefix}_{n}") for n in names]
@@ -311,7 +318,7 @@ def snapshot_features(
         group("fvg", "fvg", GAP),
         group("ob", "ob", BLOCK),
     ]
-    wide = stage(last)
+    wide = last
     for p in parts:
         wide = wide.join(p, keys, "left")
     more = ["liq_bars_since_sweep"] if feature_set == "union" else []
@@ -417,7 +424,7 @@ def decision_windows(
     return t.drop("_a", "_z", "_last"), layout.per("decision_idx")
 
 
-def window_features(
+def copied_window_features(
     bars: DataFrame,
     window: int = 500,
     horizon: int = 1,
@@ -426,7 +433,7 @@ def window_features(
     cfg: AnalysisConfig = DEFAULT,
     layout: Layout = DEFAULT_LAYOUT,
 ) -> DataFrame:
-    """The feature vector of each decision bar from its own trailing window."""
+    """``windowed.window_features`` by the definition: a snapshot of a copy of every window."""
     fan, short = decision_windows(bars, window, horizon, stride, layout)
     out = snapshot_features(stage(fan), feature_set, cfg, short)
     return out.withColumns(

@@ -158,9 +158,9 @@ RADIX = 1024
 
 
 def first_beyond(
-    bars: DataFrame, probes: DataFrame, layout: Layout = DEFAULT_LAYOUT
+    bars: DataFrame, probes: DataFrame, layout: Layout = DEFAULT_LAYOUT, touching: bool = False
 ) -> DataFrame:
-    """For each probe the first bar after ``last_index`` that pierces its price.
+    """For each probe the first bar after ``last_index`` that pierces (or touches) its price.
 
     ``probes`` needs the series keys, ``pid``, ``side``, ``price`` and ``last_index``; adds
     ``hit_idx`` (NULL when no bar does).
@@ -215,7 +215,8 @@ def first_beyond(
     climb = climb.join(tree, [*keys, "side", "lv", "node"])
 
     def right_child(after: Column) -> Column:
-        hits = F.filter("kids", lambda k: (k["slot"] > after) & (k["x"] > C("t")))
+        beyond = lambda x: (x >= C("t")) if touching else (x > C("t"))
+        hits = F.filter("kids", lambda k: (k["slot"] > after) & beyond(k["x"]))
         return F.get(hits, F.lit(0))["slot"]
 
     climb = climb.withColumn("slot", right_child(C("own"))).where(C("slot").isNotNull())
@@ -270,12 +271,17 @@ def sweeps(
             *keys, C("bar_idx").alias("hit_idx"), "ts", "high", "low", "close"
         )
         t = t.join(at, [*keys, "hit_idx"], "left")
+    return graded(t, pool_table.columns, cfg)
+
+
+def graded(t: DataFrame, columns, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
+    """Pools joined with their piercing bar: how far it went and whether it closed back."""
     buy = C("side") == "buy_side"
     depth = F.when(buy, C("high") - C("price")).otherwise(C("price") - C("low"))
     give = (1.0 - cfg.sweep_close_back_ratio) * depth
     back = F.when(buy, C("close") <= C("price") + give).otherwise(C("close") >= C("price") - give)
     return t.select(
-        *pool_table.columns,
+        *columns,
         "hit_idx",
         "ts",
         C("hit_idx").isNotNull().alias("swept"),

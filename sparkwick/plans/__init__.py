@@ -6,6 +6,7 @@ from sparkwick.plans import (  # noqa: F401
     learning_plans,
     monitor_plans,
     structure_plans,
+    vector_plans,
 )
 from sparkwick.plans.base import ORACLES, QUERIES
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkwick.operators import decision as X
-from sparkwick.operators import features as FE
+from sparkwick.operators import windowed
 from sparkwick.operators import strategy as R
 from sparkwick.operators.scan import fit_layout
 from sparkwick.plans.base import H1, bars_sql, h1_bars, q, qcols, qs, query, with_sql
@@ -343,7 +343,7 @@ def explanations(spark, sf):
 @query("r17_presets_on_features")
 def presets_on_features(spark, sf):
     """The five presets over the pipeline's own window features."""
-    f = FE.window_features(h1_bars(spark, sf), window=200, horizon=5, stride=50, feature_set="union")
+    f = windowed.window_features(h1_bars(spark, sf), window=200, horizon=5, stride=50, feature_set="union")
     keys = ["symbol", "decision_idx"]
     t = R.evaluate(stage(f), keys)
     return t.select(*keys, "strategy", "bias", "recommendation", "compliance", "confidence")

@@ -581,21 +581,6 @@ def microstructure(spark, sf):
     return t.select("symbol", *qcols(X.MICRO))
 
 
-@query("f04_snapshot_features")
-def snapshot_features(spark, sf):
-    """The full feature vector per series (its parts are checked by e*, f*, i* and k*)."""
-    bars = h1_bars(spark, sf)
-    t = X.snapshot_features(bars, "union", layout=fit_layout(bars))
-    return t.select("symbol", *X.feature_names("union"))
-
-
-@query("d01_window_features")
-def window_features(spark, sf):
-    """Feature vectors of trailing windows (equal to a snapshot of the window alone)."""
-    t = X.window_features(h1_bars(spark, sf), window=200, horizon=5, stride=25, feature_set="v185")
-    return t.select("symbol", "decision_idx", *X.feature_names("v185"))
-
-
 @query("d25_expanding_features")
 def expanding(spark, sf):
     bars = h1_bars(spark, sf)

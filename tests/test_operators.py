@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkwick.config import Layout
-from sparkwick.operators import dataset, diagnostics, gram, imbalance, levels, structure
+from sparkwick.operators import dataset, diagnostics, gram, imbalance, levels, structure, windowed
 from sparkwick.operators import features as X
 from sparkwick.operators import scan as S
 from sparkwick.operators.indicators import INDICATORS, indicators
@@ -186,7 +186,7 @@ def test_load_is_strict_unless_told(spark):
 def test_features_of_a_window_equal_the_window_alone(spark, data):
     series = {"A": data["A"][:260]}
     b = stage(S.index_bars(frame(spark, series), CHUNKED))
-    t = X.window_features(b, window=120, horizon=5, stride=60, feature_set="v185", layout=CHUNKED)
+    t = windowed.window_features(b, window=120, horizon=5, stride=60, feature_set="v185", layout=CHUNKED)
     got = rows(t, "decision_idx")
     assert [r["decision_idx"] for r in got] == [119, 179, 239]
     inside = b.where("bar_idx BETWEEN 60 AND 179").drop("bar_idx")
