@@ -33,6 +33,12 @@ def or_default(x: Column, default: float = 0.0) -> Column:
     return F.coalesce(finite(x), F.lit(float(default)))
 
 
+def significant(x: Column, digits: int = 12) -> Column:
+    """``x`` to so many significant digits: what the order of a sum leaves behind is dropped."""
+    scale = F.pow(F.lit(10.0), F.lit(digits) - F.ceil(F.log10(F.abs(x))))
+    return F.when(x == 0, 0.0).otherwise(F.round(x * scale) / scale)
+
+
 def clip(x: Column, lo: float = 0.0, hi: float = 100.0) -> Column:
     return F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), x))
 

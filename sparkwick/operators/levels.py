@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkwick.config import DEFAULT, DEFAULT_LAYOUT, AnalysisConfig, Layout
-from sparkwick.functions.columns import safe_divide
+from sparkwick.functions.columns import safe_divide, significant
 from sparkwick.operators import scan as S
 from sparkwick.operators.structure import _latest
 from sparkwick.sources.staging import stage
@@ -54,7 +54,8 @@ def clusters(
         F.max("atr_now").alias("atr_now"),
         F.min("lower").alias("lower"),
         F.max("upper").alias("upper"),
-        (F.sum("_sum") / F.sum("touches")).alias("center"),
+        # a bar that just touches the level must not pierce it by the order of the sum
+        significant(F.sum("_sum") / F.sum("touches")).alias("center"),
         F.sum("touches").alias("touches"),
         F.sum("_strength").alias("swing_strength"),
         F.min("first_index").alias("first_index"),

@@ -75,7 +75,7 @@ BOS = """br AS MATERIALIZED (
 def _clusters(name: str, tol: float) -> str:
     return f"""{name} AS MATERIALIZED (
   SELECT symbol, kind, grp, count(*) AS touches, min(price) AS lo, max(price) AS hi,
-    sum(price) / count(*) AS center, sum(strength) AS ss, min(idx) AS i0, max(idx) AS i1,
+    round(avg(price) * pow(10, 12 - ceil(log10(abs(avg(price)))))) / pow(10, 12 - ceil(log10(abs(avg(price))))) AS center, sum(strength) AS ss, min(idx) AS i0, max(idx) AS i1,
     max(atr_now) AS atr_now, max(nn) AS n, max(lc) AS lc
   FROM (SELECT *, sum(brk) OVER (PARTITION BY symbol, kind ORDER BY price, idx) AS grp
     FROM (SELECT sw.*, nw.atr_now, nw.n AS nn, nw.lc,
