@@ -7,14 +7,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkwick.operators.scan import BROADCAST_BYTES
 from sparkwick.sources.staging import checkpoint_dir
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bits of a row id that number the rows of a file.
 ROW_BITS = 40
+#: Buckets in which files are numbered; with 23 bits left, 8 million files have numbers.
+FILE_BUCKETS = 4096
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -71,13 +74,18 @@ def with_row_id(df: DataFrame, name: str = "rid") -> DataFrame:
     """
     if not _is_plain_read(df):
         return stage(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
-    # one path per file of the read, as many as the driver's own listing has
+    no, file, row = fresh(df, "_no", "_file", "_row")
     path = F.col("_metadata.file_path")
-    paths = sorted(r[0] for r in df.select(path.alias("_file")).distinct().collect())
-    files = df.sparkSession.createDataFrame(list(enumerate(paths)), "_no long, _file string")
-    numbered = df.select(*df.columns, path.alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    rid = F.shiftleft("_no", ROW_BITS).bitwiseOR(F.col("_row")).alias(name)
-    return numbered.join(F.broadcast(files), "_file").select(*df.columns, rid)
+    # files are numbered inside hash buckets, so neither a task nor the driver sees all their paths
+    paths = df.select(path.alias(file)).distinct()
+    bucket = F.pmod(F.xxhash64(file), F.lit(FILE_BUCKETS))
+    place = F.row_number().over(Window.partitionBy(bucket).orderBy(file)) - 1
+    files = stage(paths.select(file, (place.cast("long") * FILE_BUCKETS + bucket).alias(no)), "files")
+    size = files.agg(F.sum(F.octet_length(file) + 8)).first()[0] or 0
+    files = F.broadcast(files) if size <= BROADCAST_BYTES else files
+    numbered = df.select(*df.columns, path.alias(file), F.col("_metadata.row_index").alias(row))
+    rid = F.shiftleft(no, ROW_BITS).bitwiseOR(F.col(row)).alias(name)
+    return numbered.join(files, file).select(*df.columns, rid)
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwick.llm.common import components, stage, with_row_id
+from sparkwick.llm.common import components, fresh, stage, with_row_id
 from sparkwick.llm.hashing import RangeHash, mix
 
 #: Words of a shingle.
@@ -47,7 +47,7 @@ ROUNDS, DRAWN = 3, 8
 #: Candidates of a class that are searched together.
 TOGETHER = 256
 #: Characters of text, and shingles, that are worked on at once.
-CHUNK, COUNTED = 1_000_000, 6_000_000
+CHUNK, COUNTED = 1_000_000, 1_500_000
 
 _STEPS = [np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64)) for k in range(WORDS)]
 _WHITE = np.zeros(256, dtype=bool)
@@ -449,8 +449,10 @@ def join(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame
     if there are none. Results replace columns of the same name.
     """
     new = ["n_shingles", "component_id", "is_kept"]
-    base = with_row_id(df.drop(*new), "_rid")
-    rows = base.select(F.col("_rid").alias("rid"), F.coalesce(text, F.lit("")).alias("text"))
+    base = df.drop(*new)
+    (rid,) = fresh(base, "rid")
+    base = with_row_id(base, rid)
+    rows = base.select(F.col(rid).alias("rid"), F.coalesce(text, F.lit("")).alias("text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rids, texts in _chunks(batches):
@@ -506,15 +508,15 @@ def join(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame
     # from classes to rows: a component is named by its first class until its rows are known
     named = label.select(F.col("node").alias("cid"), "component")
     docs = docs.join(named, "cid", "left").withColumn("c", F.coalesce("component", "cid"))
-    ids = base.select(F.col("_rid").alias("rid"), F.col(doc_id).alias("id"))
+    ids = base.select(F.col(rid).alias("rid"), F.col(doc_id).alias("id"))
     docs = docs.select("rid", "n", "c").join(ids, "rid")
     first = F.min(F.struct(F.col("id").isNull(), "id", "rid"))
     heads = docs.where("c is not null").groupBy("c").agg(first.alias("f"))
     docs = docs.join(heads, "c", "left").select(
-        F.col("rid").alias("_rid"),
+        F.col("rid").alias(rid),
         F.col("n").alias("n_shingles"),
         F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col("f.id")).alias("component_id"),
         (F.col("c").isNull() | (F.col("f.rid") == F.col("rid"))).alias("is_kept"),
     )
     docs = stage(docs, "joined")
-    return base.join(docs, "_rid").select(*(c for c in base.columns if c != "_rid"), *new)
+    return base.join(docs, rid).select(*(c for c in base.columns if c != rid), *new)

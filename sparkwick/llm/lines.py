@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwick.llm.common import stage, with_row_id
+from sparkwick.llm.common import fresh, stage, with_row_id
 
 #: Lines of a window.
 WIDTH = 3
@@ -27,8 +27,10 @@ def drop_repeated_windows(
     Only hashes of windows (128 bits) are shuffled to find repeats, combined before the shuffle;
     the join back is an equi-join that adaptive execution splits on frequent windows.
     """
-    rows = with_row_id(df.drop("n_lines", "n_removed"), "_rid")
-    lines = rows.select("_rid", F.col(order).alias("_o"), F.split(text, "\n", -1).alias("_l"))
+    base = df.drop("n_lines", "n_removed")
+    rid, own_lines, left, starts = fresh(base, "rid", "lines", "left", "starts")
+    rows = with_row_id(base, rid)
+    lines = rows.select(F.col(rid).alias("_rid"), F.col(order).alias("_o"), F.split(text, "\n", -1).alias("_l"))
     # windows: hash line by line once, then combine neighbours by position
     hashed = lines.select(
         "_rid", "_o", F.transform("_l", lambda x: F.struct(
@@ -57,21 +59,21 @@ def drop_repeated_windows(
         .drop("_n")
     )
     later = windows.join(first, ["_a", "_b"]).where(~F.col("_p").eqNullSafe(F.col("_first")))
-    covered = later.groupBy(F.col("_p._rid").alias("_rid")).agg(F.collect_set("_p._i").alias("_s"))
+    covered = later.groupBy(F.col("_p._rid").alias(rid)).agg(F.collect_set("_p._i").alias(starts))
     covered = stage(covered, "covered")
 
-    out = rows.withColumn("_l", F.split(text, "\n", -1)).join(covered, "_rid", "left")
+    out = rows.withColumn(own_lines, F.split(text, "\n", -1)).join(covered, rid, "left")
     gone = F.array_distinct(
-        F.flatten(F.transform("_s", lambda s: F.array(*(s + k for k in range(width)))))
+        F.flatten(F.transform(starts, lambda s: F.array(*(s + k for k in range(width)))))
     )
-    all_lines = F.sequence(F.lit(0), F.size("_l") - 1)
-    out = out.withColumn("_k", F.when(F.col("_s").isNotNull(), F.array_except(all_lines, gone)))
-    kept = F.array_join(F.transform("_k", lambda i: F.get("_l", i)), "\n")
-    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size("_l")).cast("long")
-    n_removed = F.when(F.col("_k").isNull(), 0).otherwise(F.size("_l") - F.size("_k")).cast("long")
+    all_lines = F.sequence(F.lit(0), F.size(own_lines) - 1)
+    out = out.withColumn(left, F.when(F.col(starts).isNotNull(), F.array_except(all_lines, gone)))
+    kept = F.array_join(F.transform(left, lambda i: F.get(own_lines, i)), "\n")
+    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(own_lines)).cast("long")
+    n_removed = F.when(F.col(left).isNull(), 0).otherwise(F.size(own_lines) - F.size(left)).cast("long")
     return out.select(
-        *(F.when(F.col("_k").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text else c
-          for c in rows.columns if c != "_rid"),
+        *(F.when(F.col(left).isNull(), F.col(c)).otherwise(kept).alias(c) if c == text else c
+          for c in rows.columns if c != rid),
         n_lines.alias("n_lines"),
         n_removed.alias("n_removed"),
     )

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkwick.llm.common import stage, with_row_id
+from sparkwick.llm.common import fresh, stage, with_row_id
 from sparkwick.llm.hashing import RangeHash, mix
 
 #: Bytes of a repeated string.
@@ -116,8 +116,10 @@ def drop_repeats(df: DataFrame, text: str = "text", length: int = LENGTH) -> Dat
     if width > 4096:
         raise ValueError("strings of more than about 12,000 bytes need wider block places")
     new = ["n_bytes", "n_removed", "n_spans", "kept"]
-    base = with_row_id(df.drop(*new), "_rid")
-    rows = base.select(F.col("_rid").alias("rid"), F.coalesce(text, F.lit("")).alias("text"))
+    base = df.drop(*new)
+    rid, found = fresh(base, "rid", "places")
+    base = with_row_id(base, rid)
+    rows = base.select(F.col(rid).alias("rid"), F.coalesce(text, F.lit("")).alias("text"))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,28 +169,27 @@ def drop_repeats(df: DataFrame, text: str = "text", length: int = LENGTH) -> Dat
     again = single.where("s % 2 = 1").join(again, "wh").select(
         "rid", F.expr("shiftright(s, 1) * 16777216").alias("place")
     )
-    covered = equal.union(again).groupBy("rid").agg(F.collect_list("place").alias("places"))
-    covered = covered.withColumnRenamed("rid", "_rid")
-    out = base.join(covered, "_rid", "left").drop("_rid")
+    covered = equal.union(again).groupBy(F.col("rid").alias(rid)).agg(F.collect_list("place").alias(found))
+    out = base.join(covered, rid, "left").drop(rid)
 
-    columns = [c for c in out.columns if c != "places"]
+    columns = [c for c in out.columns if c != found]
     fields = [out.schema[c] for c in columns] + [
         T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),
         T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType()),
     ]
     names = [f.name for f in fields]
     passed = [out.columns.index(c) for c in columns]
-    where, last = out.columns.index(text), out.columns.index("places")
+    where, last = out.columns.index(text), out.columns.index(found)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [
+            cuts = [
                 remove((t or "").encode(), p, length)
                 for t, p in zip(
                     batch.column(where).to_pylist(), batch.column(last).to_pylist(), strict=True
                 )
             ]
-            n_bytes, n_removed, n_spans, kept = zip(*found, strict=True) if found else ([],) * 4
+            n_bytes, n_removed, n_spans, kept = zip(*cuts, strict=True) if cuts else ([],) * 4
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i) for i in passed]
                 + [pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)]
