@@ -11,4 +11,4 @@ sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 def spark():
     from oracle_check import session
 
-    return session(8)
+    return session(int(os.environ.get("TEST_CPUS", "8")))
