@@ -326,7 +326,11 @@ def assembled(
 
 
 def series_features(
-    bars: DataFrame, cfg: AnalysisConfig = DEFAULT, layout: Layout = DEFAULT_LAYOUT
+    bars: DataFrame,
+    cfg: AnalysisConfig = DEFAULT,
+    layout: Layout = DEFAULT_LAYOUT,
+    rows: DataFrame | None = None,
+    sw: DataFrame | None = None,
 ) -> DataFrame:
     """Per-bar features (continuous from the series start) plus the structure state as of the bar.
 
@@ -335,8 +339,8 @@ def series_features(
     """
     keys = list(layout.keys)
     k = cfg.swing_window
-    rows = stage(structure.swing_bars(bars, cfg, layout))
-    sw = structure.swings_from(rows, layout)
+    rows = rows if rows is not None else stage(structure.swing_bars(bars, cfg, layout))
+    sw = sw if sw is not None else structure.swings_from(rows, layout)
     br = structure.breaks_from(rows, layout)
     feats = bar_features(bars, cfg, layout).drop("n_bars")
     at_conf = sw.groupBy(*keys, (C("bar_idx") + k).alias("bar_idx")).agg(F.count("*").alias("_sw"))

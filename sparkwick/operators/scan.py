@@ -105,6 +105,33 @@ def scan(df: DataFrame, keys, order, scans: list[Scan], bucket: str | None = Non
     return df.drop(*helpers, *edge, *[f"_l_{n}" for n in local], *[f"_c_{n}" for n in local])
 
 
+def last_k(
+    df: DataFrame, keys, order, value: Column, k: int, name: str, bucket: str | None = None
+) -> DataFrame:
+    """Add the list of the last ``k`` values up to each row, oldest first.
+
+    The list is an associative carry: a bucket passes on its own last values, and as every bucket
+    that exists has a row, the last ``k`` buckets before hold what is missing.
+    """
+    keys, order = list(keys), list(order)
+    part = [*keys, bucket] if bucket else keys
+    df = df.withColumn(f"_v_{name}", value)
+    if bucket:
+        df = df.repartition(*part)
+    w = _spec(part, order, FORWARD)
+    df = df.withColumn(name, F.collect_list(f"_v_{name}").over(w.rowsBetween(-(k - 1), 0)))
+    if not bucket:
+        return df.drop(f"_v_{name}")
+    tails = df.groupBy(*part).agg(F.max_by(name, F.struct(*order)).alias("_tail"))
+    before = _spec(keys, [bucket], FORWARD).rowsBetween(-k, -1)
+    tails = tails.select(*part, F.flatten(F.collect_list("_tail").over(before)).alias("_tail"))
+    both = F.concat("_tail", name)
+    df = df.join(tails, part, "left").withColumn(
+        name, F.slice(both, F.greatest(F.size(both) - k + 1, F.lit(1)), k)
+    )
+    return df.drop(f"_v_{name}", "_tail")
+
+
 # --------------------------------------------------------------------------- small facts
 
 BROADCAST_BYTES = 8 << 20

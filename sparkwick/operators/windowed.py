@@ -32,6 +32,26 @@ LEAST_WINDOW = 64
 NOISE = 1e-12
 
 
+def ahead_of_blocks(df: DataFrame, cfg: AnalysisConfig, w) -> DataFrame:
+    """Add what judges a bar as an order block: the bars after it and the least ATR (needs _tr)."""
+    ahead = lambda c: F.array(*(F.lead(c, i).over(w) for i in range(1, cfg.ob_horizon + 2)))
+    p = cfg.atr_period
+    weights = [1.0 / p * (1.0 - 1.0 / p) ** i for i in range(p - 1)]
+    df = df.withColumns(
+        {
+            "_trs": F.collect_list("_tr").over(w.rowsBetween(-(p - 2), 0)),
+            "highs": ahead("high"),
+            "lows": ahead("low"),
+            "next_open": F.lead("open").over(w),
+            "next_close": F.lead("close").over(w),
+        }
+    )
+    # no window's ATR at this bar can be lower than what its last bars alone give
+    newest = F.zip_with(F.reverse("_trs"), F.lit(weights), lambda x, y: F.coalesce(x, F.lit(0.0)) * y)
+    least = F.aggregate(newest, F.lit(0.0), lambda a, x: a + x)
+    return df.withColumn("atr_least", least).drop("_trs")
+
+
 def _annotated(
     bars: DataFrame, window: int, stride: int, cfg: AnalysisConfig, layout: Layout
 ) -> DataFrame:
@@ -67,7 +87,6 @@ def _annotated(
             "_hl": C("high") - C("low"),
         }
     )
-    ahead = lambda c: F.array(*(F.lead(c, i).over(w) for i in range(1, m.ob_horizon + 2)))
     decides = (C("bar_idx") >= window - 1) & ((C("bar_idx") - (window - 1)) % stride == 0)
     keep = 1.0 - 1.0 / m.adx_period
 
@@ -84,32 +103,19 @@ def _annotated(
         F.lit(0).alias("i"), F.lit(0.0).alias("up"), F.lit(0.0).alias("down"), F.lit(0.0).alias("adx")
     )
     adx = F.aggregate("_moves", zero, dx_step, lambda a: a["adx"])
-    first_13 = w.rowsBetween(-(m.atr_period - 2), 0)
-    weights = [1.0 / m.atr_period * (1.0 - 1.0 / m.atr_period) ** i for i in range(m.atr_period - 1)]
+    df = ahead_of_blocks(df, cfg, w)
     df = df.withColumns(
         {
             "_moves": F.collect_list(F.struct("_up", "_down")).over(inner),
-            "_trs": F.collect_list("_tr").over(first_13),
             "_median": F.percentile("_hl", 0.5).over(full),
             "_top": F.max("high").over(full),
             "_bottom": F.min("low").over(full),
             "_fell": F.max(-C("_delta")).over(inner) > 0,
             "_volume": F.sum("volume").over(full),
             "_traded": F.sum(C("_tp") * C("volume")).over(full),
-            "highs": ahead("high"),
-            "lows": ahead("low"),
-            "next_open": F.lead("open").over(w),
-            "next_close": F.lead("close").over(w),
         }
     )
-    # no window's ATR at this bar can be lower than what its last bars alone give
-    newest = F.zip_with(F.reverse("_trs"), F.lit(weights), lambda x, y: F.coalesce(x, F.lit(0.0)) * y)
-    df = df.withColumns(
-        {
-            "adx_w": F.when(decides, adx),
-            "atr_least": F.aggregate(newest, F.lit(0.0), lambda a, x: a + x),
-        }
-    ).drop("_moves", "_trs")
+    df = df.withColumn("adx_w", F.when(decides, adx)).drop("_moves")
     level = lambda side: F.when(
         C(f"is_{side}"), F.struct(C("bar_idx").alias("idx"), C(side).alias("price"))
     )
@@ -309,8 +315,11 @@ def _gaps(rows, bars, decisions, window, cfg, layout) -> DataFrame:
     )
 
 
-def _blocks(rows, decisions, window, cfg, layout) -> DataFrame:
-    """Order blocks of each window with retests and mitigation up to its last bar."""
+def blocks(rows, decisions, window, cfg, layout, whole: bool = False) -> DataFrame:
+    """Order blocks of each window with retests and mitigation up to its last bar.
+
+    With ``whole`` the series itself gives the ATR and the window only bounds the age of a block.
+    """
     keys, h, need = list(layout.keys), cfg.ob_horizon, cfg.ob_displacement_atr
     down, up = C("close") < C("open"), C("close") > C("open")
     reach = F.when(down, F.array_max(F.slice("highs", 1, h)) - C("high")).otherwise(
@@ -347,13 +356,23 @@ def _blocks(rows, decisions, window, cfg, layout) -> DataFrame:
     ev = stage(cand.join(met, [*keys, "bar_idx"], "left"))
     # a move below the least ATR only counts where a window has no ATR yet: in its first bars
     warm = cfg.atr_period - 1
+    start = C("decision_idx") - (window - 1)
+
+    def own_atr(offset: Column, smoothed: Column) -> Column:
+        if not whole:
+            return _own_atr(offset, smoothed, cfg)
+        return F.when((start + offset >= warm) & (smoothed > 0), smoothed).otherwise(C("median_w"))
+
     early = ev.where(~C("wide")).withColumn("off", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(warm - 1).cast("long"))))
     early = early.withColumn("decision_idx", C("bar_idx") - C("off") + (window - 1))
     early = early.join(decisions, [*keys, "decision_idx"])
-    ev = _in_windows(ev.where("wide"), decisions, window, keys).unionByName(early)
+    if whole:
+        ev = _in_windows(ev.where(C("wide") | (C("bar_idx") < warm)), decisions, window, keys)
+    else:
+        ev = _in_windows(ev.where("wide"), decisions, window, keys).unionByName(early)
 
     left = (F.lit(window - 1) - C("off")).cast("int")
-    own, nxt = _own_atr(C("off"), C("tr_s"), cfg), _own_atr(C("off") + 1, C("next_tr"), cfg)
+    own, nxt = own_atr(C("off"), C("tr_s")), own_atr(C("off") + 1, C("next_tr"))
 
     def move(at: int) -> Column:
         """Reach of the bar (0) or the one after it (1) inside the window."""
@@ -451,7 +470,7 @@ def window_features(
         "sr": levels.nearest_zones(levels.zones(sw, now, cfg, short), now, short),
         "liq": levels.liquidity_summary(_pools(sw, now, bars, window, cfg, layout, short), now, short),
         "fvg": imbalance.gap_summary(_gaps(rows, bars, decisions, window, cfg, layout), now, short),
-        "ob": imbalance.block_summary(_blocks(rows, decisions, window, cfg, layout), now, short),
+        "ob": imbalance.block_summary(blocks(rows, decisions, window, cfg, layout), now, short),
     }
     unit = F.greatest("atr_w", F.lit(1e-12))
     away = lambda c: or_default((C("close") - C(c)) / unit)

@@ -581,13 +581,6 @@ def microstructure(spark, sf):
     return t.select("symbol", *qcols(X.MICRO))
 
 
-@query("d25_expanding_features")
-def expanding(spark, sf):
-    bars = h1_bars(spark, sf)
-    t = X.expanding_features(bars, warmup=300, step=5, layout=fit_layout(bars))
-    return t.select("symbol", idx(), "pa_current_close", *[c for c in t.columns if "structure_" in c])
-
-
 _FLAGS = {"ind_atr_valid": 14, "ind_ema_200_valid": 200, "ind_macd_signal_valid": 35, "vol_valid": 20}
 
 

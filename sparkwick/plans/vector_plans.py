@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkwick.operators import features as X
-from sparkwick.operators import windowed
+from sparkwick.operators import asof, windowed
 from sparkwick.operators.scan import fit_layout
 from sparkwick.plans.base import ATR, D1, EFF, H1, NOW, ORACLES, bars_sql, h1_bars, q, query
 from sparkwick.plans.structure_plans import SWINGS
@@ -40,7 +40,7 @@ def _alone(name: str) -> str:
     return sql if sql.startswith("SELECT") else f"WITH RECURSIVE {sql}"
 
 
-def vector_sql(source: str, names: list[str], key: str) -> str:
+def vector_sql(source: str, names: list[str], key: str, effective: str = EFF) -> str:
     """The feature vector of the last bar of every series of ``source``, a relation ``fan``."""
     pieces, column = [], {}
     for piece, prefix in {**PER_BAR, **STATES}.items():
@@ -75,7 +75,7 @@ def vector_sql(source: str, names: list[str], key: str) -> str:
     turn = f"""turn AS MATERIALIZED (SELECT * FROM ({breaks} SELECT symbol,
     CASE arg_max(direction, (idx, so)) WHEN 'bullish' THEN 1.0 ELSE -1.0 END AS d, arg_max(strength, (idx, so)) AS s
   FROM br WHERE pdir <> direction GROUP BY 1))"""
-    shared = [bars_sql("fan"), ATR, EFF, NOW, SWINGS]
+    shared = [bars_sql("fan"), ATR, effective, NOW, SWINGS]
     joins = [f"JOIN {p} ON {p}.symbol = nw.symbol AND {p}.idx = nw.n - 1" for p in PER_BAR]
     joins += [f"LEFT JOIN {p} ON {p}.symbol = nw.symbol" for p in (*STATES, "turn")]
     listed = ",\n  ".join(f"{column[n]} AS {n}" for n in names)
@@ -122,3 +122,27 @@ def window_features(spark, sf):
     """The feature vector of the trailing window of every bar."""
     t = windowed.window_features(h1_bars(spark, sf), WINDOW, HORIZON, 1, "v185")
     return t.select("symbol", "decision_idx", *compared(V185))
+
+
+WARMUP, STEP = 300, 5
+STATE = [n for n in UNION if not n.startswith(("sr_", "liq_"))]
+#: Every sampled prefix as a series of its own.
+PREFIXES = f"""fan AS MATERIALIZED (
+  SELECT h.symbol || '@' || d.i AS symbol, h.* EXCLUDE (symbol, i)
+  FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i FROM h1) h
+  JOIN (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i FROM h1) d
+    ON d.symbol = h.symbol AND h.i <= d.i AND d.i >= {WARMUP} AND (d.i - {WARMUP}) % {STEP} = 0)"""
+
+
+@query(
+    "d25_expanding_features",
+    vector_sql(
+        PREFIXES, STATE,
+        "split_part(nw.symbol, '@', 1) AS symbol, split_part(nw.symbol, '@', 2)::BIGINT AS idx",
+        EFF.replace("FROM b GROUP BY 1", "FROM b WHERE idx < 13 GROUP BY 1"),
+    ),
+)
+def expanding(spark, sf):
+    """Features of every fifth bar as its prefix gives them."""
+    t = asof.state_features(h1_bars(spark, sf), WARMUP, STEP)
+    return t.select("symbol", C("bar_idx").alias("idx"), *compared(STATE))
