@@ -47,7 +47,7 @@ ROUNDS, DRAWN = 3, 8
 #: Candidates of a class that are searched together.
 TOGETHER = 256
 #: Characters of text, and shingles, that are worked on at once.
-CHUNK, COUNTED = 1_000_000, 1_500_000
+CHUNK, COUNTED = 1_000_000, 6_000_000
 
 _STEPS = [np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64)) for k in range(WORDS)]
 _WHITE = np.zeros(256, dtype=bool)
@@ -120,20 +120,28 @@ def _batch(schema: str, columns: list) -> pa.RecordBatch:
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingles that several documents near each other in the table share, with how many do."""
 
-    def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
-        x, n = np.unique(np.concatenate(sets), return_counts=True)
-        return _batch("h long, n long", [x[n > 1], n[n > 1]])
+    held, size = np.empty(0, dtype=np.int64), 0  # one array, sorted where it stands
+
+    def counted(x: np.ndarray) -> pa.RecordBatch:
+        x.sort()
+        same = np.concatenate([[False], x[1:] == x[:-1], [False]])
+        first = np.flatnonzero(same[1:] & ~same[:-1])
+        last = np.flatnonzero(same[:-1] & ~same[1:])
+        return _batch("h long, n long", [x[first], last - first + 1])
 
-    held, size = [], 0
     for _, texts in _chunks(batches):
         for s in shingle_sets(texts):
-            held.append(s)
+            if size + len(s) > COUNTED:
+                yield counted(held[:size])
+                size = 0
+            if size + len(s) > len(held):
+                room = np.empty(max(2 * len(held), size + len(s), 1 << 16), dtype=np.int64)
+                room[:size] = held[:size]
+                held = room
+            held[size : size + len(s)] = s
             size += len(s)
-            if size > COUNTED:
-                yield counted(held)
-                held, size = [], 0
-    if held:
-        yield counted(held)
+    if size:
+        yield counted(held[:size])
 
 
 def _class(x: np.ndarray) -> tuple[int, int]:
