@@ -9,6 +9,11 @@ state at the bar from which it is known, and the state is carried forward:
   nearest open one is looked for among those alive in the bar's cell of bars; of gaps that stay open
   through the cell only those near enough to its closes to be nearest to any of them are kept.
 * Order blocks have a greatest age, so a bounded join brings those of the bars before.
+* Levels are islands of swing prices under a tolerance that moves with the ATR. Bars are taken in
+  epochs: swings known before an epoch are merged once into price cells as narrow as its least
+  tolerance, which no tolerance of the epoch would split, so there are as many as the price range
+  has tolerances and not as many as swings. Later swings of the epoch join one by one; islands of
+  cells and swings in price order, with the running top of what lies below, are the clusters.
 
 Where there is no ATR yet, the median range of the first bars stands in for it, so no value depends
 on later bars.
@@ -16,18 +21,22 @@ on later bars.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkwick.config import DEFAULT, DEFAULT_LAYOUT, AnalysisConfig, Layout
-from sparkwick.functions.columns import flag, or_default, safe_divide
+from sparkwick.functions.columns import flag, or_default, safe_divide, significant
 from sparkwick.operators import features, imbalance, levels, structure, windowed
 from sparkwick.operators import scan as S
+from sparkwick.operators.indicators import indicators
+from sparkwick.operators.windowed import swept_pools
 from sparkwick.sources.staging import stage
 
 C = F.col
 #: Bars that share one list of candidate gaps.
 CELL = 256
+#: Bars that share one list of price cells.
+EPOCH = 1024
 
 
 def warm_range(bars: DataFrame, cfg: AnalysisConfig, layout: Layout) -> DataFrame:
@@ -175,8 +184,6 @@ def gap_lives(
     """Every gap with its size in ATR and the bar that fills it (null while open)."""
     keys = list(layout.keys)
     w = S.bar_window(layout)
-    from sparkwick.operators.indicators import indicators
-
     extra = {"_h2": F.lag("high", 2).over(w), "_l2": F.lag("low", 2).over(w)}
     rows = indicators(bars, ["atr"], cfg, layout, extra=extra)
     rows = S.attach(rows, warm, keys, "bar_idx", layout.bounded)
@@ -238,6 +245,64 @@ def nearest_gaps(gaps: DataFrame, at: DataFrame, layout: Layout) -> DataFrame:
     )
 
 
+def prefix_clusters(
+    sw: DataFrame, decisions: DataFrame, tolerance: float, cfg: AnalysisConfig, layout: Layout
+) -> DataFrame:
+    """``levels.clusters`` of the swings known at each decision (keys, decision_idx, atr_now)."""
+    keys = list(layout.keys)
+    d = decisions.select(*keys, "decision_idx", "atr_now", F.floor(C("decision_idx") / EPOCH).alias("epoch"))
+    epochs = d.groupBy(*keys, "epoch").agg(
+        (F.min("atr_now") * tolerance).alias("wide"), F.min("decision_idx").alias("start")
+    )
+    ends = d.groupBy(*keys).agg(F.max("epoch").alias("last_epoch"))
+    known = C("bar_idx") + cfg.swing_window
+    ev = S.attach(sw, ends, keys, "bar_idx", layout.bounded).withColumn("known", known)
+    ev = ev.where(F.floor(C("known") / EPOCH) <= C("last_epoch")).withColumn(
+        "epoch", F.explode(F.sequence(F.floor(C("known") / EPOCH), C("last_epoch")))
+    )
+    ev = ev.join(epochs, [*keys, "epoch"])
+    old = C("known") <= C("start")
+    # a swing of the epoch itself is a cell of its own
+    ev = ev.withColumns(
+        {
+            "_cell": F.when(old & (C("wide") > 0), F.floor(C("price") / C("wide"))),
+            "_same": F.when(old & ~(C("wide") > 0), C("price")),
+            "_own": F.when(~old, C("bar_idx")),
+            "known": F.when(~old, C("known")),
+        }
+    )
+    cells = ev.groupBy(*keys, "epoch", "kind", "_cell", "_same", "_own").agg(
+        F.max("known").alias("known"),
+        F.min("price").alias("lower"),
+        F.max("price").alias("upper"),
+        F.sum("price").alias("total"),
+        F.count("*").alias("touches"),
+        F.sum("strength").alias("strength"),
+        F.min("bar_idx").alias("first_index"),
+        F.max("bar_idx").alias("last_index"),
+    )
+    cells = cells.drop("_cell", "_same", "_own")
+    t = d.join(cells, [*keys, "epoch"]).where(C("known").isNull() | (C("known") <= C("decision_idx")))
+    part = [*keys, "decision_idx", "kind"]
+    t = t.repartition(*part)
+    w = Window.partitionBy(*part).orderBy("lower", "upper", "first_index")
+    top = F.max("upper").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.coalesce((C("lower") - top > C("atr_now") * tolerance).cast("int"), F.lit(1))
+    t = t.withColumn("_new", apart)
+    t = t.withColumn("cluster", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    out = t.groupBy(*part, "cluster").agg(
+        F.max("atr_now").alias("atr_now"),
+        F.min("lower").alias("lower"),
+        F.max("upper").alias("upper"),
+        significant(F.sum("total") / F.sum("touches")).alias("center"),
+        F.sum("touches").alias("touches"),
+        F.sum("strength").alias("swing_strength"),
+        F.min("first_index").alias("first_index"),
+        F.max("last_index").alias("last_index"),
+    )
+    return out.withColumn("width", C("upper") - C("lower"))
+
+
 def _block_rows(bars: DataFrame, cfg: AnalysisConfig, layout: Layout) -> DataFrame:
     w = S.bar_window(layout)
     df = S.extend(bars, layout)
@@ -261,8 +326,8 @@ def state_features(
 ) -> DataFrame:
     """Features of every ``step``-th bar from ``warmup`` on, as of that bar.
 
-    Per-bar features, trend, structure, legs, gaps and order blocks, each equal to what the
-    series up to the bar alone gives (with the range of the first bars where that lacks an ATR).
+    The whole feature vector, equal to what the series up to the bar alone gives (with the range of
+    the first bars where that lacks an ATR).
     """
     keys = list(layout.keys)
     warm = stage(warm_range(bars, cfg, layout))
@@ -271,7 +336,7 @@ def state_features(
     rows = stage(rows.withColumn("atr_eff", F.when(C("atr") > 0, C("atr")).otherwise(C("warm_range"))))
     sw = stage(structure.swings_from(rows, layout))
     feats = features.series_features(bars, cfg, layout, rows=rows, sw=sw)
-    feats = feats.join(rows.select(*keys, "bar_idx", "atr_eff", "warm_range"), [*keys, "bar_idx"])
+    feats = feats.join(rows.select(*keys, "bar_idx", "atr", "atr_eff", "warm_range"), [*keys, "bar_idx"])
     gaps = gap_lives(bars, warm, cfg, layout)
     born = gaps.groupBy(*keys, "bar_idx").agg(
         F.count_if(C("direction") == "bullish").alias("g_bull"), F.count_if(C("direction") == "bearish").alias("g_bear")
@@ -304,14 +369,30 @@ def state_features(
 
     decisions = t.select(
         *keys, C("bar_idx").alias("decision_idx"), C("warm_range").alias("median_w"), C("close").alias("last_close"),
-        C("atr_eff").alias("atr_last"),
+        C("atr_eff").alias("atr_last"), F.coalesce("atr", C("warm_range")).alias("atr_now"),
+        (C("bar_idx") + 1).alias("n_bars"),
     )
+    decisions = stage(decisions)
     short = layout.per("decision_idx")
+    zones = prefix_clusters(sw, decisions, cfg.zone_merge_atr, cfg, layout)
+    sr = levels.nearest_zones(levels.zones(sw, decisions, cfg, short, found=zones), decisions, short)
+    pools = prefix_clusters(sw, decisions, cfg.equal_level_atr, cfg, layout)
+    pools = levels.pools(sw, decisions, cfg, short, found=pools)
+    liq = levels.liquidity_summary(
+        swept_pools(pools, bars, F.lit(0), cfg, layout), decisions, short
+    )
+    sr = sr.select(
+        *keys, C("decision_idx").alias("bar_idx"), *(C(n).alias(f"sr_{n}") for n in features.ZONE),
+        flag(C("has_support")).alias("sr_support_valid"), flag(C("has_resistance")).alias("sr_resistance_valid"),
+    )
+    liq = liq.select(*keys, C("decision_idx").alias("bar_idx"), *(C(n).alias(f"liq_{n}") for n in features.LIQUIDITY))
     found = windowed.blocks(_block_rows(bars, cfg, layout), decisions, cfg.ob_max_age + 1, cfg, layout, whole=True)
     ob = imbalance.block_summary(found, decisions, short)
     ob = ob.select(*keys, C("decision_idx").alias("bar_idx"), *(C(n).alias(f"ob_{n}") for n in features.BLOCK))
     near = nearest_gaps(gaps, t, layout)
-    t = t.join(ob, [*keys, "bar_idx"], "left").join(near, [*keys, "bar_idx"], "left")
+    for other in (sr, liq, ob):
+        t = t.join(other, [*keys, "bar_idx"], "left")
+    t = t.join(near, [*keys, "bar_idx"], "left")
     gap = C("gap")
     sign = F.when(gap["direction"] == "bullish", 1.0).when(gap.isNotNull(), -1.0)
     fvg = {
@@ -324,6 +405,5 @@ def state_features(
         "distance_to_nearest": safe_divide(gap["edge"], C("atr_eff"), None),
     }
     t = t.withColumns({f"fvg_{k}": or_default(v.cast("double")) for k, v in fvg.items()})
-    covered = [n for n in features.feature_names("union") if not n.startswith(("sr_", "liq_"))]
     passed = [c for c in bars.columns if c in t.columns]
-    return t.select(*passed, *covered)
+    return t.select(*passed, *features.feature_names("union"))

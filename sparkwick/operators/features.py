@@ -449,18 +449,6 @@ def copied_window_features(
     )
 
 
-def expanding_features(
-    bars: DataFrame,
-    warmup: int = 300,
-    step: int = 5,
-    cfg: AnalysisConfig = DEFAULT,
-    layout: Layout = DEFAULT_LAYOUT,
-) -> DataFrame:
-    """Series features sampled at every ``step``-th bar from ``warmup`` on."""
-    pick = (C("bar_idx") >= warmup) & ((C("bar_idx") - warmup) % step == 0)
-    return series_features(bars, cfg, layout).where(pick)
-
-
 # --------------------------------------------------------------------------- schema
 
 

@@ -72,10 +72,14 @@ def zones(
     now: DataFrame,
     cfg: AnalysisConfig = DEFAULT,
     layout: Layout = DEFAULT_LAYOUT,
+    found: DataFrame | None = None,
 ) -> DataFrame:
-    """The strongest support and resistance zones per series (a top-k per side)."""
+    """The strongest support and resistance zones per series (a top-k per side).
+
+    ``found`` are clusters made elsewhere; else those of ``swing_events``.
+    """
     keys = list(layout.keys)
-    z = clusters(swing_events, now, cfg.zone_merge_atr, layout)
+    z = found if found is not None else clusters(swing_events, now, cfg.zone_merge_atr, layout)
     z = z.join(now.select(*keys, "n_bars", "last_close"), keys)
     recency = 0.5 + 0.5 * (C("last_index") / F.greatest(C("n_bars") - 1, F.lit(1)))
     z = z.withColumns(
@@ -136,9 +140,11 @@ def pools(
     now: DataFrame,
     cfg: AnalysisConfig = DEFAULT,
     layout: Layout = DEFAULT_LAYOUT,
+    found: DataFrame | None = None,
 ) -> DataFrame:
-    """Levels touched at least twice within a tight tolerance."""
-    t = clusters(swing_events, now, cfg.equal_level_atr, layout).where(C("touches") >= 2)
+    """Levels touched at least twice within a tight tolerance (``found``: as for ``zones``)."""
+    t = found if found is not None else clusters(swing_events, now, cfg.equal_level_atr, layout)
+    t = t.where(C("touches") >= 2)
     tol = C("atr_now") * cfg.equal_level_atr
     tight = F.when(tol > 0, 1.0 - F.least(C("width") / tol, F.lit(1.0)) * 0.5).otherwise(1.0)
     return t.select(

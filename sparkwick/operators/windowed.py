@@ -398,11 +398,9 @@ def blocks(rows, decisions, window, cfg, layout, whole: bool = False) -> DataFra
     )
 
 
-def _pools(swings, now, bars, window, cfg, layout, short) -> DataFrame:
-    """Liquidity pools of each window with their first piercing bar inside it."""
+def swept_pools(pl, bars, start: Column, cfg, layout) -> DataFrame:
+    """Pools per decision with their first piercing bar up to it; bars count from ``start``."""
     keys = list(layout.keys)
-    start = C("decision_idx") - (window - 1)
-    pl = levels.pools(swings, now, cfg, short)
     probes = pl.withColumns(
         {"pid": F.struct("decision_idx", "cluster"), "last_index": C("last_index") + start}
     )
@@ -468,7 +466,10 @@ def window_features(
         "structure": structure.structure_summary(_breaks(rows, bars, decisions, window, cfg, layout), now, short),
         "micro": structure.microstructure(sw, tr, short),
         "sr": levels.nearest_zones(levels.zones(sw, now, cfg, short), now, short),
-        "liq": levels.liquidity_summary(_pools(sw, now, bars, window, cfg, layout, short), now, short),
+        "liq": levels.liquidity_summary(
+            swept_pools(levels.pools(sw, now, cfg, short), bars, C("decision_idx") - (window - 1), cfg, layout),
+            now, short,
+        ),
         "fvg": imbalance.gap_summary(_gaps(rows, bars, decisions, window, cfg, layout), now, short),
         "ob": imbalance.block_summary(blocks(rows, decisions, window, cfg, layout), now, short),
     }
