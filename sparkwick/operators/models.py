@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkwick.functions.columns import add, clip
+from sparkwick.operators import isotonic
 from sparkwick.operators.dataset import CLASSES
 from sparkwick.operators.gram import Gram, gram_matrix
 
@@ -510,9 +511,20 @@ class LogisticFit:
         elif self.calibration == "platt":
             raw = [1.0 / (1.0 + F.exp(-(x * a + b))) for x, (a, b) in zip(m, self.curves, strict=True)]
         else:
-            raw = [_interpolate(x, xs, ys) for x, (xs, ys) in zip(m, self.curves, strict=True)]
+            raise ValueError("isotonic curves are tables: use score")
         return normalised(raw, self.classes)
 
+    def score(self, df: DataFrame, name: str = "probs") -> DataFrame:
+        """``df`` with the map class -> probability; isotonic curves are joined by value."""
+        if self.calibration != "isotonic":
+            return df.withColumn(name, self.probabilities())
+        raw = [f"_p{i}" for i in range(len(self.classes))]
+        for i, (column, margin) in enumerate(zip(raw, self.margins(), strict=True)):
+            df = isotonic.apply(
+                df.withColumn("_class", F.lit(i)), self.curves[0].where(C("_class") == i), ["_class"], margin, column
+            ).drop("_class")
+        return df.withColumn(name, normalised([C(c) for c in raw], self.classes)).drop(*raw)
+
 
 def normalised(raw: list[Column], classes) -> Column:
     total = add(raw)
@@ -521,16 +533,6 @@ def normalised(raw: list[Column], classes) -> Column:
     return F.create_map(*[x for c, v in zip(classes, p, strict=True) for x in (F.lit(c), v / again)])
 
 
-def _interpolate(x: Column, xs, ys) -> Column:
-    """Piecewise-linear curve through (xs, ys), flat outside."""
-    out = F.lit(float(ys[0]))
-    for i in range(1, len(xs)):
-        step = (ys[i] - ys[i - 1]) / (xs[i] - xs[i - 1]) if xs[i] > xs[i - 1] else 0.0
-        seg = float(ys[i - 1]) + (x - float(xs[i - 1])) * float(step)
-        out = F.when(x >= float(xs[i - 1]), seg).otherwise(out)
-    return F.when(x >= float(xs[-1]), float(ys[-1])).otherwise(out)
-
-
 def train_logistic(
     train: DataFrame,
     features,
@@ -565,44 +567,51 @@ def train_logistic(
     if calibration == "none" or cut < 10:
         return fit
     held = train.where(C(index) >= cut)
-    for i, x in enumerate(fit.margins()):
-        one = held.select(x.alias("m"), (C(label) == i).cast("double").alias("y"))
-        fit.curves.append(_curve(one, calibration))
+    if calibration == "isotonic":
+        one = F.array(
+            *(F.struct(F.lit(i).alias("_class"), x.alias("m"), (C(label) == i).cast("double").alias("y"))
+              for i, x in enumerate(fit.margins()))
+        )
+        fit.curves = [isotonic.fit(held.select(F.explode(one).alias("e")).select("e.*"), ["_class"], "m", "y")]
+    elif calibration == "platt":
+        for i, x in enumerate(fit.margins()):
+            fit.curves.append(_platt(held.select(x.alias("m"), (C(label) == i).cast("double").alias("y"))))
+    else:
+        raise ValueError(f"unknown calibration {calibration!r}")
     fit.calibration = calibration
     return fit
 
 
-def _curve(held: DataFrame, method: str):
+def _platt(held: DataFrame) -> tuple[float, float]:
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import IsotonicRegression
 
     v = VectorAssembler(inputCols=["m"], outputCol="_x").transform(held)
-    if method == "platt":
-        pos, n = v.agg(F.sum("y"), F.count("*")).first()
-        if not pos or pos == n:
-            rate = ((pos or 0.0) + 1.0) / (n + 2.0)
-            return 0.0, float(np.log(rate / (1 - rate)))
-        # smoothed targets: each row counts for both sides with its target weight
-        hi, lo = (pos + 1.0) / (pos + 2.0), 1.0 / (n - pos + 2.0)
-        target = F.when(C("y") == 1, hi).otherwise(lo)
-        sides = F.array(
-            F.struct(F.lit(1.0).alias("s"), target.alias("w")),
-            F.struct(F.lit(0.0).alias("s"), (1.0 - target).alias("w")),
-        )
-        v = v.select("_x", F.explode(sides).alias("e")).select("_x", "e.*")
-        m = LogisticRegression(featuresCol="_x", labelCol="s", weightCol="w", maxIter=200).fit(v)
-        return float(m.coefficients[0]), float(m.intercept)
-    if method == "isotonic":
-        m = IsotonicRegression(featuresCol="_x", labelCol="y").fit(v)
-        return list(m.boundaries.toArray()), list(m.predictions.toArray())
-    raise ValueError(f"unknown calibration {method!r}")
-
-
-def bootstrap_agreement(df: DataFrame, primary: LogisticFit, members: list[LogisticFit]) -> Column:
-    """Share of ensemble members whose most likely class is the primary's."""
-    own = predicted_class(primary.probabilities())
-    return add([F.when(predicted_class(m.probabilities()) == own, 1.0).otherwise(0.0) for m in members]) / len(members)
+    pos, n = v.agg(F.sum("y"), F.count("*")).first()
+    if not pos or pos == n:
+        rate = ((pos or 0.0) + 1.0) / (n + 2.0)
+        return 0.0, float(np.log(rate / (1 - rate)))
+    # smoothed targets: each row counts for both sides with its target weight
+    hi, lo = (pos + 1.0) / (pos + 2.0), 1.0 / (n - pos + 2.0)
+    target = F.when(C("y") == 1, hi).otherwise(lo)
+    sides = F.array(
+        F.struct(F.lit(1.0).alias("s"), target.alias("w")),
+        F.struct(F.lit(0.0).alias("s"), (1.0 - target).alias("w")),
+    )
+    v = v.select("_x", F.explode(sides).alias("e")).select("_x", "e.*")
+    m = LogisticRegression(featuresCol="_x", labelCol="s", weightCol="w", maxIter=200).fit(v)
+    return float(m.coefficients[0]), float(m.intercept)
+
+
+def bootstrap_agreement(
+    df: DataFrame, primary: LogisticFit, members: list[LogisticFit], name: str = "bootstrap_agreement"
+) -> DataFrame:
+    """``df`` with the share of ensemble members whose most likely class is the primary's."""
+    t = primary.score(df, "_probs").withColumn("_own", predicted_class(C("_probs"))).withColumn("_same", F.lit(0))
+    for m in members:
+        hit = F.when(predicted_class(C("_probs")) == C("_own"), 1).otherwise(0)
+        t = m.score(t.drop("_probs"), "_probs").withColumn("_same", C("_same") + hit)
+    return t.withColumn(name, C("_same") / float(len(members))).drop("_probs", "_own", "_same")
 
 
 # --------------------------------------------------------------------------- probabilities

@@ -9,10 +9,24 @@ from pyspark.sql import functions as F
 from sparkwick.operators import dataset as D
 from sparkwick.operators import diagnostics as G
 from sparkwick.operators import gram
+from sparkwick.operators import isotonic as I
 from sparkwick.operators import metrics as M
 from sparkwick.operators import models as L
 from sparkwick.operators.scan import fit_layout
-from sparkwick.plans.base import D1, H1, LONG, bars_sql, d1_bars, h1_bars, q, qcols, qs, query, with_sql
+from sparkwick.plans.base import (
+    D1,
+    H1,
+    LONG,
+    bars_sql,
+    d1_bars,
+    h1_bars,
+    q,
+    qcols,
+    qs,
+    query,
+    table,
+    with_sql,
+)
 from sparkwick.sources.staging import stage
 
 C = F.col
@@ -669,7 +683,7 @@ def logistic(spark, sf):
     label = D.class_code(D.threshold_label(C("y"), 0.3, -0.3)).cast("double")
     train, test = (x.withColumn("cls", label) for x in (d.train, d.test))
     fit = L.train_logistic(train, FEATURES, "cls", calibration="platt")
-    t = test.withColumn("probs", fit.probabilities())
+    t = fit.score(test)
     t = t.withColumns(L.probability_summary())
     return t.select("symbol", idx(), "predicted_class", "probability_margin", "prediction_entropy", "sums_to_one")
 
@@ -828,3 +842,34 @@ def vif_pair(spark, sf):
     rows = G.inflation_factors(returns(spark, sf), ["f_range", "f_volume"])
     t = spark.createDataFrame(rows, "feature string, vif double")
     return t.select("feature", q("vif", 4).alias("vif"))
+
+
+# --------------------------------------------------------------------------- isotonic curves
+
+
+@query(
+    "m11_isotonic",
+    f"""WITH v AS (
+  SELECT event_type AS symbol, value AS x, count(*) AS w, count(*) FILTER (user_id % 3 = 0) AS s FROM events GROUP BY 1, 2
+), c AS MATERIALIZED (
+  SELECT *, row_number() OVER o AS i, sum(w) OVER o AS uw, sum(s) OVER o AS us
+  FROM v WINDOW o AS (PARTITION BY symbol ORDER BY x)
+), least AS (
+  SELECT a.symbol, b.i, min((b.us - a.us + a.s) / (b.uw - a.uw + a.w)) OVER (
+    PARTITION BY a.symbol, a.i ORDER BY b.i DESC) AS g
+  FROM c a JOIN c b ON a.symbol = b.symbol AND b.i >= a.i
+), g AS (SELECT symbol, i, max(g) AS g FROM least GROUP BY 1, 2
+), p AS (
+  SELECT symbol, x, g, lead(x) OVER o AS x1, lead(g) OVER o AS g1, first(g) OVER o AS g0
+  FROM c JOIN g USING (symbol, i) WINDOW o AS (PARTITION BY symbol ORDER BY x)
+), e AS (SELECT event_id, event_type AS symbol, value * 0.9::DOUBLE + 1 AS z FROM events
+), lowest AS (SELECT symbol, arg_min(g, x) AS g0 FROM p GROUP BY 1)
+SELECT event_id, {qs('CASE WHEN p.x IS NULL THEN lowest.g0 WHEN x1 IS NULL THEN g ELSE g + (g1 - g) * (z - p.x) / (x1 - p.x) END')} AS fitted
+FROM e JOIN lowest ON lowest.symbol = e.symbol ASOF LEFT JOIN p ON p.symbol = e.symbol AND e.z >= p.x""",
+)
+def isotonic_curves(spark, sf):
+    """Isotonic curve of an outcome over the value of each event type, read at other values."""
+    ev = table(spark, sf, "events").select("event_id", C("event_type").alias("symbol"), "value", "user_id")
+    blocks = I.fit(ev, ["symbol"], "value", (C("user_id") % 3 == 0).cast("double"))
+    t = I.apply(ev, blocks, ["symbol"], C("value") * 0.9 + 1)
+    return t.select("event_id", q("fitted").alias("fitted"))

@@ -125,7 +125,6 @@ def window_features(spark, sf):
 
 
 WARMUP, STEP = 300, 5
-STATE = [n for n in UNION if not n.startswith(("sr_", "liq_"))]
 #: Every sampled prefix as a series of its own.
 PREFIXES = f"""fan AS MATERIALIZED (
   SELECT h.symbol || '@' || d.i AS symbol, h.* EXCLUDE (symbol, i)
@@ -137,7 +136,7 @@ PREFIXES = f"""fan AS MATERIALIZED (
 @query(
     "d25_expanding_features",
     vector_sql(
-        PREFIXES, STATE,
+        PREFIXES, UNION,
         "split_part(nw.symbol, '@', 1) AS symbol, split_part(nw.symbol, '@', 2)::BIGINT AS idx",
         EFF.replace("FROM b GROUP BY 1", "FROM b WHERE idx < 13 GROUP BY 1"),
     ),
@@ -145,4 +144,4 @@ PREFIXES = f"""fan AS MATERIALIZED (
 def expanding(spark, sf):
     """Features of every fifth bar as its prefix gives them."""
     t = asof.state_features(h1_bars(spark, sf), WARMUP, STEP)
-    return t.select("symbol", C("bar_idx").alias("idx"), *compared(STATE))
+    return t.select("symbol", C("bar_idx").alias("idx"), *compared(UNION))

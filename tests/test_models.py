@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sparkwick.operators import isotonic
 from sparkwick.operators import models as L
 from sparkwick.operators import monitor as Q
 from sparkwick.operators import strategy as R
@@ -49,7 +50,7 @@ def test_cross_validation(rows):
 @pytest.mark.parametrize("calibration", ["none", "platt", "isotonic"])
 def test_logistic(rows, calibration):
     fit = L.train_logistic(rows, ["x", "z"], "cls", calibration=calibration)
-    t = rows.withColumn("probs", fit.probabilities()).withColumns(L.probability_summary())
+    t = fit.score(rows).withColumns(L.probability_summary())
     names = {0.0: "SELL", 1.0: "NO_TRADE", 2.0: "BUY"}
     got = t.select("cls", "predicted_class", "sums_to_one").collect()
     assert all(r["sums_to_one"] for r in got)
@@ -136,3 +137,36 @@ def test_fitted_preprocessing_is_never_refitted(spark):
             fitted.apply(train, wrong)
     with pytest.raises(ValueError):
         fitted.apply(train.drop("flat"))
+
+
+def test_isotonic_curves_equal_the_library(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import IsotonicRegression
+
+    r = random.Random(4)
+    data = [(k, float(r.randint(0, 60)), float(r.random() < 0.2 + i / 900), i + 400 * n) for n, k in enumerate("ab") for i in range(400)]
+    data += [("a", None, 1.0, 900), ("one", 5.0, 1.0, 901)]
+    df = spark.createDataFrame(data, "k string, x double, y double, row long")
+    blocks = isotonic.fit(df, ["k"], "x", "y")
+    ends = blocks.orderBy("k", "lo").collect()
+    for a, b in zip(ends, ends[1:]):
+        assert a.k != b.k or (a.hi < b.lo and a.value < b.value)
+    got = {x.row: x.fitted for x in isotonic.apply(df, blocks, ["k"], F.col("x") * 1.1 - 2).collect()}
+    assert len(got) == len(data) and got[900] is None and got[901] == 1.0
+    for k in ("a", "b"):
+        own = VectorAssembler(inputCols=["x"], outputCol="v").transform(df.where((F.col("k") == k) & F.col("x").isNotNull()))
+        m = IsotonicRegression(featuresCol="v", labelCol="y").fit(own)
+        want = m.transform(VectorAssembler(inputCols=["z"], outputCol="w").transform(own.withColumn("z", F.col("x") * 1.1 - 2)).drop("v").withColumnRenamed("w", "v"))
+        for x in want.collect():
+            assert abs(got[x.row] - x.prediction) < 1e-9
+    empty = df.where("k = 'none'")
+    assert isotonic.fit(empty, ["k"], "x", "y").count() == 0
+    assert all(x.fitted is None for x in isotonic.apply(df, isotonic.fit(empty, ["k"], "x", "y"), ["k"], "x").collect())
+
+
+def test_bootstrap_agreement_of_a_separable_case(rows):
+    fit = L.train_logistic(rows, ["x", "z"], "cls")
+    other = L.train_logistic(rows, ["x", "z"], "cls", calibration="isotonic")
+    t = L.bootstrap_agreement(rows, fit, [fit, fit, other])
+    shares = {x.bootstrap_agreement for x in t.select("bootstrap_agreement").distinct().collect()}
+    assert shares <= {2 / 3, 1.0} and 1.0 in shares
