@@ -10,6 +10,7 @@ from sparkwick.operators import dataset as D
 from sparkwick.operators import diagnostics as G
 from sparkwick.operators import gram
 from sparkwick.operators import isotonic as I
+from sparkwick.operators import logistic as LR
 from sparkwick.operators import metrics as M
 from sparkwick.operators import models as L
 from sparkwick.operators.scan import fit_layout
@@ -873,3 +874,50 @@ def isotonic_curves(spark, sf):
     blocks = I.fit(ev, ["symbol"], "value", (C("user_id") % 3 == 0).cast("double"))
     t = I.apply(ev, blocks, ["symbol"], C("value") * 0.9 + 1)
     return t.select("event_id", q("fitted").alias("fitted"))
+
+
+# --------------------------------------------------------------------------- logistic models per series
+
+
+def _newton_sql(steps: int = 14) -> str:
+    """Two classes are one difference of scores d = a + b x, with half the penalty on b."""
+    ctes = ["t0 AS (SELECT symbol, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM lx GROUP BY 1)"]
+    for i in range(steps):
+        ctes.append(f"""sums{i} AS MATERIALIZED (
+  SELECT lx.symbol, max(a) AS a, max(b) AS b, sum(w * (p - l)) AS g0, sum(w * (p - l) * x) + max(b) / 2 AS g1,
+    sum(w * p * (1 - p)) AS h00, sum(w * p * (1 - p) * x) AS h01, sum(w * p * (1 - p) * x * x) + 0.5 AS h11
+  FROM (SELECT lx.*, a, b, 1 / (1 + exp(-(a + b * x))) AS p FROM lx JOIN t{i} USING (symbol)) lx GROUP BY 1),
+t{i + 1} AS (SELECT symbol, a - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS a,
+    b - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS b FROM sums{i})""")
+    return ",\n".join(ctes) + f"""
+SELECT lx.symbol, idx, {qs('1 / (1 + exp(-(a + b * x)))')} AS p_up,
+  CASE WHEN a + b * x > 0 THEN 1 ELSE 0 END::INTEGER AS predicted FROM lx JOIN t{steps} USING (symbol)"""
+
+
+@query(
+    "m09_logistic_by_symbol",
+    with_sql(*XS, """lx AS MATERIALIZED (
+  SELECT symbol, idx, f_close / 100 AS x, l, count(*) OVER (PARTITION BY symbol) / (2.0::DOUBLE * count(*) OVER (PARTITION BY symbol, l)) AS w
+  FROM (SELECT *, CASE WHEN y > 0 THEN 1 ELSE 0 END AS l FROM x))""")
+    + ", " + _newton_sql(),
+)
+def logistic_by_symbol(spark, sf):
+    """One logistic model per series, all advanced by the same scans."""
+    t = returns(spark, sf).withColumn("x", C("f_close") / 100)
+    models = LR.fit_by_key(t, ["symbol"], ["x"], (C("y") > 0).cast("int"), 2)
+    t = LR.score_by_key(t, models, ["symbol"], ["x"], 2, "sample_idx")
+    return t.select("symbol", idx(), q(F.get("probabilities", F.lit(1))).alias("p_up"), "predicted")
+
+
+@query(
+    "m12_ensemble_agreement",
+    with_sql(*XS)
+    + "SELECT symbol, idx, CASE WHEN f_close > 40 THEN 1 ELSE 0 END::INTEGER AS predicted, 1.0::DOUBLE AS agreement FROM x",
+)
+def ensemble_agreement(spark, sf):
+    """Bootstrap members of a separable case: all of them find the classes apart."""
+    high = C("f_close") > 40
+    t = returns(spark, sf).withColumn("x", (C("f_close") - 40) / 100 + F.when(high, 8.0).otherwise(-8.0))
+    models = LR.fit_by_key(t, ["symbol"], ["x"], high.cast("int"), 2, members=6)
+    t = LR.score_by_key(t, models, ["symbol"], ["x"], 2, "sample_idx")
+    return t.select("symbol", idx(), "predicted", "agreement")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkwick.operators import isotonic
+from sparkwick.operators import logistic as LR
 from sparkwick.operators import models as L
 from sparkwick.operators import monitor as Q
 from sparkwick.operators import strategy as R
@@ -170,3 +171,28 @@ def test_bootstrap_agreement_of_a_separable_case(rows):
     t = L.bootstrap_agreement(rows, fit, [fit, fit, other])
     shares = {x.bootstrap_agreement for x in t.select("bootstrap_agreement").distinct().collect()}
     assert shares <= {2 / 3, 1.0} and 1.0 in shares
+
+
+def test_logistic_models_of_many_keys_equal_single_fits(spark):
+    r = random.Random(8)
+    data = []
+    for n, k in enumerate(("a", "b", "hot")):
+        for i in range(150 * (1 + 2 * n)):
+            x, z = r.gauss(0, 1), r.gauss(n, 2)
+            s = x * (n - 1) + 0.4 * z + r.gauss(0, 0.6)
+            data.append((k, len(data), x, z, 2 if s > 0.8 else 0 if s < -0.2 else 1))
+    data += [("poor", len(data) + i, 0.5, float(i), i % 2) for i in range(20)]
+    data += [("a", 100_000, None, 1.0, 1), ("a", 100_001, 1.0, 1.0, None)]
+    df = stage(spark.createDataFrame(data, "k string, sample_idx long, x double, z double, cls int"))
+    models = LR.fit_by_key(df, ["k"], ["x", "z"], "cls", 3, members=2)
+    assert sorted((m.k, m.member) for m in models.collect()) == [(k, i) for k in ("a", "b", "hot") for i in range(3)]
+    got = {x.sample_idx: x for x in LR.score_by_key(df.dropna(), models, ["k"], ["x", "z"], 3, "sample_idx").collect()}
+    for k in ("a", "b", "hot"):
+        own = df.where(F.col("k") == k).dropna().withColumn("cls", F.col("cls").cast("double"))
+        fit = L.train_logistic(own, ["x", "z"], "cls")
+        for x in fit.score(own).collect():
+            want = [x.probs[c] for c in L.CLASSES]
+            mine = got[x.sample_idx]
+            assert max(abs(a - b) for a, b in zip(mine.probabilities, want)) < 1e-4
+            assert mine.agreement in (0.0, 0.5, 1.0)
+    assert not any(x.k == "poor" for x in got.values())
