@@ -93,7 +93,8 @@ def pool_hits(bars, k=5):
         for g in price_clusters(pts, atr * 0.15):
             if len(g) < 2:
                 continue
-            level = math.fsum(p for p, _ in g) / len(g)
+            # centres have twelve digits: a bar at the mean of its level touches it and no more
+            level = float(f"{math.fsum(p for p, _ in g) / len(g):.12g}")
             first, last = min(i for _, i in g), max(i for _, i in g)
             hit = next(
                 (
