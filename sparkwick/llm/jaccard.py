@@ -387,10 +387,15 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return stage(found.mapInArrow(_search, "a long, b long"), "links")
 
 
-def _mixed(members: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members of long lists with their component ``c``, and the lists that still hold several."""
+def _labelled(members: DataFrame, label: DataFrame) -> DataFrame:
+    """Members of long lists with their component ``c``."""
     label = label.select(F.col("node").alias("b"), F.col("component").alias("c"))
-    members = members.join(label, "b", "left").withColumn("c", F.coalesce("c", "b"))
+    return members.join(label, "b", "left").withColumn("c", F.coalesce("c", "b"))
+
+
+def _mixed(members: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of long lists with their component, and the lists that still hold several."""
+    members = _labelled(members, label)
     lists = members.groupBy("a").agg(
         F.count("*").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi")
     )
@@ -402,12 +407,14 @@ def _with_some(members: DataFrame, label: DataFrame, step: int) -> DataFrame:
 
     The draw is the same in all lists, so that a group that shares many lists gives few pairs.
     """
-    members, lists = _mixed(members, label)
-    members = members.join(lists.select("a"), "a")
+    members = _labelled(members, label)
     own = F.struct("b", "n", "pos", "c")
     drawn = [F.max_by(own, F.xxhash64("b", F.lit(step * DRAWN + j))) for j in range(DRAWN)]
-    some = members.groupBy("a").agg(F.array_distinct(F.array(*drawn)).alias("some"))
-    met = members.join(some.select("a", F.explode("some").alias("o")), "a").where("c <> o.c")
+    lists = members.groupBy("a").agg(
+        F.array_distinct(F.array(*drawn)).alias("some"), F.min("c").alias("lo"), F.max("c").alias("hi")
+    )
+    some = lists.where("lo <> hi").select("a", F.explode("some").alias("o"))
+    met = members.join(some, "a").where("c <> o.c")
     need = F.ceil((F.col("n") + F.col("o.n")) * NUMERATOR / (NUMERATOR + DENOMINATOR))
     reach = F.least(F.col("n") - F.col("pos"), F.col("o.n") - F.col("o.pos"))
     met = met.where(reach >= need)
