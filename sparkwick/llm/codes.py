@@ -22,9 +22,11 @@ from sparkwick.llm.common import fresh, stage, with_row_id
 from sparkwick.operators.scan import attach
 
 PARTS, ENTRIES, ROUNDS, SCALE = 8, 16, 6, 4096
-#: Integers beyond this are cut to it: squared distances stay exact in 64 bits for parts of up to 31
-#: components (128 with half of it), and an outlier does not end the job.
-LARGEST = 1 << 28
+#: Integers beyond this (components beyond 16,384) are cut to it: squared distances of parts of up to
+#: 500 components stay exact in 64 bits, and an outlier does not end the job.
+LARGEST = 1 << 26
+#: Errors are added exactly and shown as this where they do not fit a long.
+MOST = (1 << 63) - 1
 #: Bytes of a block; a batch that reaches Python holds at most ten thousand of them.
 BLOCK_BYTES = 10_240
 _BLOCKS = "part int, rids binary, flat binary, low binary, high binary, sums binary"
@@ -46,6 +48,11 @@ def _integers(vector: Column) -> Column:
     )
 
 
+def _total(name: str) -> Column:
+    exact = F.sum(F.col(name).cast("decimal(38,0)"))
+    return F.least(exact, F.lit(MOST).cast("decimal(38,0)")).cast("long")
+
+
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     """Place of each row of ``cells`` (numbers of ``bits`` bits) on the Hilbert curve.
 
@@ -251,7 +258,7 @@ def learn(
         sums = blocks.mapInArrow(
             partial(_round, books=books), "part int, entry int, n long, sums array<long>"
         )
-        # long sums of integers below 2**28 are exact up to 2**35 vectors
+        # long sums of integers up to 2**26 are exact up to 2**37 vectors
         total = sums.select("part", "entry", "n", F.posexplode("sums").alias("at", "s"))
         total = total.groupBy("part", "entry", "at").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
         after = books.copy()
@@ -306,7 +313,7 @@ def compress(
         for i, n in enumerate(per_word)
     ]
     codes = coded.groupBy(F.col("rid").alias(rid)).agg(
-        F.sum("far").alias(far), *(c.alias(w) for c, w in zip(packed, words, strict=True))
+        _total("far").alias(far), *(c.alias(w) for c, w in zip(packed, words, strict=True))
     )
     code = F.concat(
         *(F.lower(F.lpad(F.hex(w), 2 * n, "0")) for w, n in zip(words, per_word, strict=True))
@@ -315,7 +322,7 @@ def compress(
         "code": code, "error": F.col(far),
         at: F.coalesce(F.col(label).cast("string"), F.lit("")), none: F.col(label).isNull(),
     }).drop(far, *words), "codes")
-    per_label = found.groupBy(at, none).agg(F.sum("error").alias("label_error"))
+    per_label = found.groupBy(at, none).agg(_total("error").alias("label_error"))
     listed = ",".join(map(str, books.ravel().tolist()))
     digest = hashlib.sha256(listed.encode()).hexdigest()
     out = attach(found, per_label, [at, none], salt=rid)

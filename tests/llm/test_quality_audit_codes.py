@@ -307,3 +307,11 @@ def test_codes_of_odd_tables(spark, tmp_path):
     got = codes.compress(table(spark, tmp_path / "o", rows, schema)).orderBy("rids").collect()
     assert [r.rids for r in got] == ["p", "q", "r"]
     assert got[0].code == got[1].code and len(got[0].code) == 16 and got[0].error == 0
+
+
+def test_sums_of_far_outliers_do_not_end_the_job(spark, tmp_path):
+    rows = [(i, [0.1] * 64, 1) for i in range(16)] + [(100 + i, [1e30 * (-1) ** i] * 64, 1) for i in range(40)]
+    got = codes.compress(table(spark, tmp_path / "f", rows, "vec_id long, embedding array<double>, label int"), rounds=1)
+    got = {r.vec_id: r for r in got.collect()}
+    assert len(got) == 56 and got[0].error >= 0 and got[101].error > 0
+    assert got[0].label_error == min(sum(r.error for r in got.values()), codes.MOST)
