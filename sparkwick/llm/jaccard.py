@@ -283,7 +283,7 @@ def _enough(found: DataFrame, members: DataFrame) -> DataFrame:
     short = found.where("kind = 0").groupBy("a", "b").agg(
         F.sum("c").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb")
     )
-    often = members.groupBy("b").agg(F.count("*").alias("l"))
+    often = members.select("b", F.size("lists").alias("l"))
     short = short.join(often.select(F.col("b").alias("a"), F.col("l").alias("la")), "a", "left")
     short = short.join(often.select("b", F.col("l").alias("lb")), "b", "left")
     rest = lambda n: F.ceil(F.col(n) * NUMERATOR / DENOMINATOR) - 1
@@ -388,9 +388,10 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _labelled(members: DataFrame, label: DataFrame) -> DataFrame:
-    """Members of long lists with their component ``c``."""
+    """Entries of long lists with the component ``c`` of their class, looked up once per class."""
     label = label.select(F.col("node").alias("b"), F.col("component").alias("c"))
-    return members.join(label, "b", "left").withColumn("c", F.coalesce("c", "b"))
+    of_class = members.join(label, "b", "left").withColumn("c", F.coalesce("c", "b"))
+    return of_class.select("b", "n", "c", F.inline("lists"))
 
 
 def _mixed(members: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -496,9 +497,12 @@ def join(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame
     rank = F.when(order == 0, F.col("place")).otherwise(F.xxhash64(order, "cid"))
     postings = postings.repartition("h").sortWithinPartitions("h", rank, "cid")
     found = stage(postings.mapInArrow(_candidates, _FOUND), "found")
-    members = found.where("kind = 1").select(
-        "a", "b", F.col("na").alias("n"), F.col("nb").alias("pos")
+    # a class with its entries in long lists: at most those of its own prefix
+    entry = F.struct("a", F.col("nb").alias("pos"))
+    members = found.where("kind = 1").groupBy("b").agg(
+        F.first("na").alias("n"), F.collect_list(entry).alias("lists")
     )
+    members = stage(members, "members")
     pairs = stage(_enough(found, members), "pairs")
     ends = _both(pairs, lambda p, end: p.select(F.col(end).alias("cid")).distinct())
     needed = ends.union(members.select("b")).distinct().join(reps, "cid").select("cid", "rid")
