@@ -14,6 +14,7 @@ class Layout:
     ``chunk`` bars of one series share a window partition; ``back``/``fwd`` neighbour bars are
     copied into it so that finite frames are complete. ``bounded`` says that every group of
     ``keys`` is known to be short (at most ``chunk`` bars), so one group is one window partition.
+    ``single`` says that this was checked, so that no recurrence has to restart inside a group.
     """
 
     keys: tuple[str, ...] = SERIES_KEYS
@@ -21,6 +22,7 @@ class Layout:
     back: int = 64
     fwd: int = 16
     bounded: bool = False
+    single: bool = False
 
     @property
     def window_keys(self) -> list[str]:
@@ -28,7 +30,7 @@ class Layout:
 
     def per(self, *extra: str) -> "Layout":
         """The layout of short groups below the series, such as one row set per decision bar."""
-        return replace(self, keys=(*self.keys, *extra), bounded=True)
+        return replace(self, keys=(*self.keys, *extra), bounded=True, single=False)
 
 
 # The defaults below define the results.
