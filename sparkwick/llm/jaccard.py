@@ -13,8 +13,9 @@ least ``required(|a|, |b|)`` shingles. The search runs in four steps.
    are merged and counted, candidates short of the required overlap by more than the number of
    long lists are dropped, the rest are probed in the long lists by binary search (DivideSkip).
 4. Long lists whose members are still in several components meet a few members of others; what is
-   then still apart gives its pairs across components, block by block, and these are searched as
-   in step 3. Components of all links are the result.
+   then still apart is compared across components, block by block: pairs whose parity maps do not
+   differ in more bits than linked sets can differ in shingles are searched as in step 3.
+   Components of all links are the result.
 """
 
 from __future__ import annotations
@@ -36,7 +37,9 @@ WORDS = 5
 NUMERATOR, DENOMINATOR = 3, 4
 #: Members of the longest list that is expanded at once, and of a block of a longer one.
 LONG = 64
-BLOCK = 512
+BLOCK = 2048
+#: Bits of a set's parity map.
+PARITY = 1024
 #: Shingles counted more often than this are put last in the order, the most frequent of them if
 #: there are more than so many; this affects speed only, never the result.
 OFTEN, FREQUENT = 8, 1_000_000
@@ -94,6 +97,12 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
+def parity_map(x: np.ndarray) -> bytes:
+    """Bits that tell whether an odd number of the set's shingles hash to them."""
+    at = np.bincount((x.view(np.uint64) % np.uint64(PARITY)).astype(np.int64), minlength=PARITY)
+    return np.packbits(at & 1).tobytes()
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
     """(row ids, texts) of a bounded number of characters."""
     for batch in batches:
@@ -151,6 +160,7 @@ def _class(x: np.ndarray) -> tuple[int, int]:
 
 _DOCS = "rid long, n long, cid long, other long"
 _POSTINGS = "h long, cid long, place long"
+_SETS = "cid long, items binary, map binary"
 _FOUND = "kind int, a long, b long, na int, nb int, c int"
 
 
@@ -352,8 +362,8 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for cids, texts in _chunks(batches):
-        found = [x.tobytes() for x in shingle_sets(texts)]
-        yield _batch("cid long, items binary", [cids, found])
+        found = shingle_sets(texts)
+        yield _batch(_SETS, [cids, [x.tobytes() for x in found], [parity_map(x) for x in found]])
 
 
 def _both(pairs: DataFrame, of) -> DataFrame:
@@ -391,7 +401,7 @@ def _labelled(members: DataFrame, label: DataFrame) -> DataFrame:
     """Entries of long lists with the component ``c`` of their class, looked up once per class."""
     label = label.select(F.col("node").alias("b"), F.col("component").alias("c"))
     of_class = members.join(label, "b", "left").withColumn("c", F.coalesce("c", "b"))
-    return of_class.select("b", "n", "c", F.inline("lists"))
+    return of_class.select(*(c for c in of_class.columns if c != "lists"), F.inline("lists"))
 
 
 def _mixed(members: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -424,29 +434,39 @@ def _with_some(members: DataFrame, label: DataFrame, step: int) -> DataFrame:
     ).distinct()
 
 
-def _across(members: DataFrame, label: DataFrame) -> DataFrame:
-    """Pairs of members of long lists that are in different components, block by block."""
-    members, lists = _mixed(members, label)
+def _across(members: DataFrame, label: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of members of long lists that are in different components, block by block.
+
+    Every bit in which two parity maps differ stands for a shingle that only one of the sets has,
+    so a pair with more of them than linked sets of these sizes can have is no link.
+    """
+    maps = sets.select(F.col("cid").alias("b"), "map")
+    members, lists = _mixed(members.join(maps, "b"), label)
     lists = lists.select("a", F.ceil(F.col("size") / BLOCK).alias("blocks"))
     members = members.join(lists, "a").withColumn(
         "s", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")
     )
     with_block = members.withColumn("t", F.explode(F.expr("sequence(0, cast(blocks as int) - 1)")))
     with_block = with_block.select(
-        "a", F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j"), "s", "b", "n", "pos", "c"
+        "a", F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j"), "s", "b", "n", "pos", "c", "map"
     )
 
     def block_pairs(table: pa.Table) -> pa.Table:
         x = {k: table.column(k).to_numpy() for k in ("i", "j", "s", "b", "n", "pos", "c")}
         left = np.flatnonzero(x["s"] == x["i"][0])
         right = np.flatnonzero(x["s"] == x["j"][0])
+        maps = np.frombuffer(b"".join(table.column("map").to_pylist()), dtype=np.uint64)
+        maps = maps.reshape(len(x["b"]), PARITY // 64)
         out = []
         for k in left.tolist():
             ok = _possible(x["n"][k], x["pos"][k], x["n"][right], x["pos"][right])
             ok &= x["c"][right] != x["c"][k]
             if x["i"][0] == x["j"][0]:
                 ok &= x["b"][right] > x["b"][k]
-            b = x["b"][right[ok]]
+            near = right[ok]
+            apart = np.bitwise_count(maps[near] ^ maps[k]).sum(axis=1, dtype=np.int64)
+            n = x["n"][near]
+            b = x["b"][near[apart <= x["n"][k] + n - 2 * required(x["n"][k], n)]]
             a = np.full(len(b), x["b"][k])
             out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
         both = np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
@@ -506,9 +526,7 @@ def join(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame
     pairs = stage(_enough(found, members), "pairs")
     ends = _both(pairs, lambda p, end: p.select(F.col(end).alias("cid")).distinct())
     needed = ends.union(members.select("b")).distinct().join(reps, "cid").select("cid", "rid")
-    sets = rows.join(needed, "rid").select("cid", "text").mapInArrow(
-        _sets, "cid long, items binary"
-    )
+    sets = rows.join(needed, "rid").select("cid", "text").mapInArrow(_sets, _SETS)
     sets = stage(sets, "sets")
     links = _links(pairs, sets)
     label = stage(components(links), "label")
@@ -519,7 +537,7 @@ def join(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame
                 break
             links = links.union(_links(pairs, sets))
             label = stage(components(links), "label")
-        pairs = stage(_across(members, label), "across")
+        pairs = stage(_across(members, label, sets), "across")
         if not pairs.isEmpty():
             links = links.union(_links(pairs, sets))
             label = components(links)
