@@ -49,8 +49,9 @@ ORDERS = 4
 ROUNDS, DRAWN = 3, 8
 #: Candidates of a class that are searched together.
 TOGETHER = 256
-#: Characters of text, and shingles, that are worked on at once.
-CHUNK, COUNTED = 1_000_000, 6_000_000
+#: Characters of text, and shingles, that are worked on at once; rows turned into strings at once.
+CHUNK, COUNTED = 250_000, 6_000_000
+TURNED = 256
 
 _STEPS = [np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64)) for k in range(WORDS)]
 _WHITE = np.zeros(256, dtype=bool)
@@ -105,7 +106,8 @@ def parity_map(x: np.ndarray) -> bytes:
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
     """(row ids, texts) of a bounded number of characters."""
-    for batch in batches:
+    parts = (b.slice(at, TURNED) for b in batches for at in range(0, b.num_rows, TURNED))
+    for batch in parts:
         rids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         start = size = 0
         for i, t in enumerate(texts):
@@ -129,7 +131,8 @@ def _batch(schema: str, columns: list) -> pa.RecordBatch:
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingles that several documents near each other in the table share, with how many do."""
 
-    held, size = np.empty(0, dtype=np.int64), 0  # one array, sorted where it stands
+    # one array, sorted where it stands; its pages take memory as they are written
+    held, size = np.empty(COUNTED, dtype=np.int64), 0
 
     def counted(x: np.ndarray) -> pa.RecordBatch:
         x.sort()
@@ -143,10 +146,8 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if size + len(s) > COUNTED:
                 yield counted(held[:size])
                 size = 0
-            if size + len(s) > len(held):
-                room = np.empty(max(2 * len(held), size + len(s), 1 << 16), dtype=np.int64)
-                room[:size] = held[:size]
-                held = room
+            if len(s) > len(held):  # it stands alone: what was held before has been passed on
+                held = np.empty(len(s), dtype=np.int64)
             held[size : size + len(s)] = s
             size += len(s)
     if size:

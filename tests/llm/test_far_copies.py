@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from helpers import smallest_reachable, table
 
 from sparkwick.llm import jaccard
@@ -55,3 +56,9 @@ def test_parity_maps_never_exceed_the_difference():
         b = np.union1d(b, a[: n // 2])
         maps = [np.frombuffer(jaccard.parity_map(x), dtype=np.uint64) for x in (a, b)]
         assert np.bitwise_count(maps[0] ^ maps[1]).sum() <= len(np.setxor1d(a, b))
+
+
+def test_few_rows_become_strings_at_once():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5000)), pa.array(["a b c"] * 5000)], names=["rid", "text"])
+    sizes = [len(rids) for rids, _ in jaccard._chunks(iter([batch]))]
+    assert sum(sizes) == 5000 and max(sizes) <= 256
