@@ -57,3 +57,20 @@ def test_full_length(spark, tmp_path):
     check(spark, tmp_path / "t", texts, 400)
     none = spark.createDataFrame([], SCHEMA)
     assert suffix.drop_repeats(none).count() == 0
+
+
+def test_repeated_lines_are_no_hot_keys(spark, tmp_path):
+    rng = random.Random(3)
+    word = lambda k: "".join(rng.choices("abcdefgh", k=k))
+    raw = [(word(700) + "one line\n" * 250 + word(700)).encode() for _ in range(20)]
+    ranks = Counter(suffix.find_blocks(raw, 400)[2].tolist())
+    # not 250 for every text: one, and those whose strings reach beyond the last line
+    assert max(ranks.values()) <= (1 + 400 // 9) * len(raw)
+    texts = []
+    for _ in range(40):
+        line = rng.choice(["one line\n", "-", "ab", "日本\n", word(12), word(150)])
+        texts.append(word(rng.randrange(40)) + line * rng.randrange(60) + word(rng.randrange(40)))
+    check(spark, tmp_path / "short", texts, 40)
+    texts = [t.decode() for t in raw[:4]] + ["x" + "one line\n" * k for k in (44, 45, 89, 90)]
+    texts += [word(50) + word(150) * 4 + word(50), "=" * 401, "=" * 1000 + word(9)]
+    check(spark, tmp_path / "long", texts, 400)
