@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwick.config import Layout
+from sparkwick.config import DEFAULT_LAYOUT, Layout
 from sparkwick.operators import scan as S
 from sparkwick.sources.candles import DAY, candles_from_ticks
 from sparkwick.sources.staging import stage
@@ -84,9 +86,8 @@ def d1(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def supplier_days(spark: SparkSession, sf: str) -> DataFrame:
+def supplier_days(items: DataFrame, parts: int = 0) -> DataFrame:
     """Daily candles per supplier: the number of series grows with the data."""
-    items = table(spark, sf, "lineitem")
     tie = F.struct(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"
     )
@@ -99,9 +100,42 @@ def supplier_days(spark: SparkSession, sf: str) -> DataFrame:
         None,
         tie,
         volume=C("l_quantity"),
+        parts=parts,
     )
 
 
+#: Ticks of one task where series are gathered whole.
+TASK_TICKS = 1 << 18
+
+
+def supplier_bars(spark: SparkSession, sf: str) -> list[tuple[DataFrame, Layout]]:
+    """Indexed daily candles per supplier with the layout that fits them, short and long series.
+
+    The ticks of a supplier are counted first, as no series has more bars than ticks. One shuffle
+    of the ticks brings every short series to its task; it is combined, indexed and read there and
+    nothing is stored. Longer ones (few, as each holds many ticks) are combined before the shuffle.
+    """
+    # an item without supplier or date has no place in a series
+    items = table(spark, sf, "lineitem").dropna(subset=["l_suppkey", "l_shipdate"])
+    sizes = items.groupBy("l_suppkey").count()
+    is_long = C("count") > S.SHORT_SERIES
+    n_long, ticks = sizes.agg(
+        F.count_if(is_long), F.coalesce(F.sum(F.when(~is_long, C("count"))), F.lit(0))
+    ).first()
+    long = F.broadcast(sizes.where(is_long).select("l_suppkey"))
+    out = []
+    if ticks or not n_long:
+        short = items.join(long, "l_suppkey", "left_anti") if n_long else items
+        parts = max(spark.sparkContext.defaultParallelism, math.ceil(ticks / TASK_TICKS))
+        layout = S.short_layout()
+        out.append((S.index_bars(supplier_days(short, parts), layout), layout))
+    if n_long:
+        days = supplier_days(items.join(long, "l_suppkey", "left_semi"))
+        bars = stage(S.index_bars(days, replace(DEFAULT_LAYOUT, keys=("symbol",)), 20 * YEAR))
+        out.append((bars, S.fit_layout(bars)))
+    return out
+
+
 # chunks this small are exercised by the checks even on short series
 LONG = Layout(chunk=256)
 

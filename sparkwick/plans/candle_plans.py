@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from sparkwick.functions import columns as P
 from sparkwick.operators import imbalance
 from sparkwick.operators.indicators import INDICATORS, indicators, snapshot
 from sparkwick.operators.patterns import PATTERNS, patterns
-from sparkwick.operators.scan import fit_layout, index_bars
+from sparkwick.operators.scan import fit_layout
 from sparkwick.plans.base import (
     ATR,
     D1,
@@ -28,12 +30,12 @@ from sparkwick.plans.base import (
     qsql,
     query,
     smooth_sql,
+    supplier_bars,
     supplier_days,
     table,
     with_sql,
 )
 from sparkwick.sources import candles as src
-from sparkwick.sources.staging import stage
 
 C = F.col
 OHLC = ["open", "high", "low", "close"]
@@ -83,7 +85,8 @@ def candles_daily(spark, sf):
   {qs('sum(l_quantity)')} AS volume FROM lineitem GROUP BY 1, 2""",
 )
 def candles_supplier(spark, sf):
-    return supplier_days(spark, sf).select("symbol", at(), *qcols(["high", "low", "volume"]))
+    days = supplier_days(table(spark, sf, "lineitem"))
+    return days.select("symbol", at(), *qcols(["high", "low", "volume"]))
 
 
 @query(
@@ -518,8 +521,9 @@ def i20(spark, sf):
 @query("i00_all_indicators")
 def all_indicators(spark, sf):
     """Every series at once over the supplier candles (checked piecewise by the i* queries)."""
-    bars = stage(index_bars(supplier_days(spark, sf), span_seconds=20 * YEAR))
-    return indicators(bars, layout=fit_layout(bars)).select("symbol", "bar_idx", *INDICATORS)
+    found = [indicators(b, layout=layout) for b, layout in supplier_bars(spark, sf)]
+    rows = [f.select("symbol", "bar_idx", *INDICATORS) for f in found]
+    return reduce(DataFrame.unionByName, rows)
 
 
 # --------------------------------------------------------------------------- patterns

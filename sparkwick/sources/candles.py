@@ -68,13 +68,20 @@ def candles_from_ticks(
     volume: Column | None = None,
     users: Column | None = None,
     spread: Column | None = None,
+    parts: int = 0,
 ) -> DataFrame:
     """OHLCV bars per symbol and time step.
 
     Every aggregate combines on the map side, so a symbol or a bar that holds most of the ticks
     costs no more than any other. ``tie_break`` makes first and last tick deterministic.
+
+    ``parts`` is for series known to be short: their ticks are shuffled as they are by symbol into
+    so many tasks and combined there. A partial bar is wider than a tick, and every later step by
+    series finds the bars in place.
     """
     bar = F.date_trunc(step, ts) if step else ts
+    if parts:
+        ticks = ticks.repartition(parts, symbol)
     src = ticks.select(
         symbol.alias("symbol"),
         bar.cast("timestamp").alias("ts"),
